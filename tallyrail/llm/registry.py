@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .minhash import op2_bbit_minhash
 from .packing import op3_best_fit_packing
 from .pieces import op10_piece_encoding
+from .repeats import op8_column_wise_repeats
 from .sharding import op9_rendezvous_sharding
 from .tiff import op5_tiff_pages
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_best_fit_packing, op5_tiff_pages, op9_rendezvous_sharding, op10_piece_encoding]
+    found = [op2_bbit_minhash, op3_best_fit_packing, op5_tiff_pages, op8_column_wise_repeats, op9_rendezvous_sharding, op10_piece_encoding]
     return {f.__name__: f for f in found}
 
 
