@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op1_cross_polytope
 from .lines import OP7_SQL, op7_site_line_dedup
 from .minhash import op2_bbit_minhash
 from .packing import op3_best_fit_packing
@@ -17,7 +18,7 @@ from .tiff import op5_tiff_pages
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_bbit_minhash, op3_best_fit_packing, op4_quotation_linking, op5_tiff_pages, op7_site_line_dedup, op8_column_wise_repeats, op9_rendezvous_sharding, op10_piece_encoding]
+    found = [op1_cross_polytope, op2_bbit_minhash, op3_best_fit_packing, op4_quotation_linking, op5_tiff_pages, op7_site_line_dedup, op8_column_wise_repeats, op9_rendezvous_sharding, op10_piece_encoding]
     return {f.__name__: f for f in found}
 
 
