@@ -79,6 +79,17 @@ class Words:
     def share(self, mask: np.ndarray) -> np.ndarray:
         return np.bincount(self.row[mask], minlength=self.rows) / np.maximum(1, self.count)
 
+    def least(self) -> np.ndarray:
+        """Per row: the least hash of three words in a row, 0 where there are fewer."""
+        out = np.zeros(self.rows, np.uint64)
+        if len(self.row) > 2:
+            whole = np.flatnonzero(self.row[2:] == self.row[:-2])
+            h = mix64(self.hashes[whole] + mix64(self.hashes[whole + 1] + mix64(self.hashes[whole + 2])))
+            if len(whole):
+                first = np.flatnonzero(np.r_[True, np.diff(self.row[whole]) != 0])
+                out[self.row[whole][first]] = np.minimum.reduceat(h, first)
+        return out.view(np.int64)
+
     def measures(self) -> np.ndarray:
         """Per row: shares of repeated neighbours, shouted words, symbol endings, bare words, of the most frequent
         word's neighbours alike, and exclamations."""
@@ -170,8 +181,9 @@ def fitted(row: np.ndarray, slot: np.ndarray, value: np.ndarray, labels: np.ndar
 def learned_lists(docs: DataFrame, labels: DataFrame) -> list[np.ndarray]:
     """Hashes of the words that mark toxic rows, learned apart on each of ``PARTS`` parts of the labelled sample.
 
-    The sample is the ``LABELLED_ROWS`` labelled rows of least key hash. A word is listed if ``LEAST_DOCS`` toxic rows
-    hold it and it is 35 times as frequent there as in the others; the ``LIST_WORDS`` strongest are taken.
+    The sample is the ``LABELLED_ROWS`` labelled rows of least key hash. Rows with the same least hash of three words
+    in a row count once, so that a group of copies doesn't make its own words look like marks. A word is listed if ``LEAST_DOCS`` toxic rows
+    and one in fifty of them hold it, and it is 35 times as frequent there as in the others; the ``LIST_WORDS`` strongest are taken.
     """
     ranked = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = ranked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS)
@@ -181,13 +193,14 @@ def learned_lists(docs: DataFrame, labels: DataFrame) -> list[np.ndarray]:
         for part in slices(batch, "text", 1 << 20):
             words = Words(*utf8(part.column("text")))
             keys = np.unique(np.stack([words.token_row.astype(np.uint64), words.tokens], axis=1), axis=0)
-            at = pa.array(keys[:, 0].astype(np.int64))
-            yield pa.record_batch([part.column("doc_id").take(at), part.column("toxic").take(at), pa.array(keys[:, 1].view(np.int64))], names=["doc_id", "toxic", "word"])
+            row = keys[:, 0].astype(np.int64)
+            at = pa.array(row)
+            yield pa.record_batch([part.column("toxic").take(at), pa.array(np.ascontiguousarray(keys[:, 1]).view(np.int64)), pa.array(words.least()[row])], names=["toxic", "word", "least"])
 
-    words = map_arrow(rows, distinct, "doc_id long, toxic int, word long").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS)))
+    words = map_arrow(rows, distinct, "toxic int, word long, least long").withColumn("part", F.pmod(F.xxhash64("least"), F.lit(PARTS))).distinct()
     counts = words.groupBy("part", "word").agg(F.sum((F.col("toxic") == 1).cast("long")).alias("bad"), F.sum((F.col("toxic") == 0).cast("long")).alias("good"))
-    sizes = sample.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS))).groupBy("part").agg(F.sum((F.col("toxic") == 1).cast("long")).alias("bads"), F.count(F.lit(1)).alias("all"))
-    strong = counts.filter(F.col("bad") >= LEAST_DOCS).join(sizes, "part").filter("bad * (all - bads) >= 35 * (good + 0.5) * bads").collect()  # words of a bounded sample
+    sizes = words.select("part", "toxic", "least").distinct().groupBy("part").agg(F.sum((F.col("toxic") == 1).cast("long")).alias("bads"), F.count(F.lit(1)).alias("all"))
+    strong = counts.filter(F.col("bad") >= LEAST_DOCS).join(sizes, "part").filter("bad >= 0.02 * bads AND bad * (all - bads) >= 35 * (good + 0.5) * bads").collect()  # words of a bounded sample
     lists: list[list] = [[] for _ in range(PARTS)]
     for r in strong:
         lists[r["part"]].append((-r["bad"] / (r["good"] + 1), r["word"]))
