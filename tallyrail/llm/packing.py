@@ -10,8 +10,11 @@ the partitions meets in one place as well.
 
 from __future__ import annotations
 
+import json
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,6 +34,32 @@ PARTITION_PIECES, ROUNDS = 16_384, 4
 MEMORY = 500_000
 #: Punctuation that often closes a word. It is a token group of its own behind a letter or digit.
 CLOSING = ".,!?;:*#%&$|"
+#: Fixed value: the pattern by which byte-level tokenizers cut a text.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def ranked(path: str):
+    """The same vocabulary in the rank form that encodes short texts in a third of the time, or None.
+
+    The two forms agree where the model is byte-level BPE without prefix space and ids are in the order of merges.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or spec.get("normalizer") or sys.byteorder != "little":
+        return None
+    # byte-level files write each byte as one character: printable ones as themselves, the others from 256 on
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(byte[c] for c in text): i for text, i in model["vocab"].items() if text not in special}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if any(model["vocab"].get(a + b) != 256 + k for k, (a, b) in enumerate(pairs)) or len(ranks) != 256 + len(pairs):
+        return None
+    return tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
 
 
 class WordTable:
@@ -47,8 +76,12 @@ class WordTable:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.words: dict[str, bytes] = {}
+        self.fast = ranked(path)
 
     def direct(self, texts: list[str]) -> list[bytes]:
+        if self.fast is not None:
+            encode = self.fast.encode_ordinary
+            return [array("I", encode(t)).tobytes() for t in texts]
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: set[str]) -> None:
