@@ -1 +1,5 @@
+"""Queries over the test tables, each with SQL that gives the same rows."""
 
+from .queries import oracle_sql, queries
+
+__all__ = ["oracle_sql", "queries"]
