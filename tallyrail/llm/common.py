@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -15,11 +16,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared checkpoint folder; a temporary one only where the session names none (tests)."""
+    """Cut lineage in the shared checkpoint folder; a temporary one only where the session names none (tests).
+
+    What the cut lineage alone held is garbage then. The driver is asked to collect it, since Spark deletes shuffle
+    files from the executors' disks only when the driver's objects for them are collected.
+    """
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", "") and context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyrail-checkpoint-"))
-    return df.checkpoint()
+    kept = df.checkpoint()
+    del df
+    gc.collect()
+    context._jvm.System.gc()
+    return kept
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

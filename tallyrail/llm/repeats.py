@@ -153,10 +153,12 @@ def runs(mask: np.ndarray) -> list[tuple[int, int]]:
 SPANS = "array<struct<first:int,last:int>>"
 
 
-def constructed(windows: DataFrame, size: int, gram: int) -> DataFrame:
+def constructed(windows: DataFrame, count: int, size: int, gram: int) -> DataFrame:
     """g, h and spans of repeated starts of each window, from the other windows of its anchor."""
 
     def solve(rows: pa.Table) -> pa.RecordBatch:
+        g, h = rows.column("g").to_numpy(), rows.column("h").to_numpy()
+        rows = rows.filter(pa.array(np.r_[True, (g[1:] != g[:-1]) | (h[1:] != h[:-1])]))  # rows repeated in the table
         g = rows.column("g").to_numpy()
         found = repeated_columns(g, rows.column("before").to_numpy(), rows.column("starts").to_numpy(), rows.column("bytes").to_pylist(), size, gram)
         some = np.flatnonzero(found.any(axis=1))
@@ -182,7 +184,7 @@ def constructed(windows: DataFrame, size: int, gram: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield solve(held)
 
-    parts = max(1, -(-windows.count() // PARTITION_WINDOWS))
+    parts = max(1, -(-count // PARTITION_WINDOWS))
     dealt = windows.repartition(parts, "g").sortWithinPartitions("g", "h")
     return dealt.mapInArrow(run, f"g long, h long, spans {SPANS}")
 
@@ -220,10 +222,12 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataF
     whole = kinds.filter("n > 1").select("g", "h")
     mixed = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     unlike = kinds.join(mixed, "g").select("g", "h", "kinds", "n", "one.*")
-    spans = constructed(checkpointed(fetched(docs, unlike.filter(F.col("kinds") <= GROUP_LIMIT), size).dropDuplicates(["g", "h"])), size, gram)
+    unlike = checkpointed(unlike)
+    laid = unlike.filter(F.col("kinds") <= GROUP_LIMIT)
+    spans = checkpointed(constructed(fetched(docs, laid, size), laid.count(), size, gram))
     crowded = unlike.filter(F.col("kinds") > GROUP_LIMIT)
     if not crowded.isEmpty():
-        spans = spans.unionByName(counted(checkpointed(fetched(docs, crowded, size).dropDuplicates(["g", "h"])), size))
+        spans = checkpointed(spans.unionByName(counted(checkpointed(fetched(docs, crowded, size).dropDuplicates(["g", "h"])), size)))
     known = spans.join(whole, ["g", "h"], "left_anti").unionByName(
         whole.withColumn("spans", F.lit(None).cast(SPANS))
     )
