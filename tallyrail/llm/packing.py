@@ -85,8 +85,9 @@ class WordTable:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: set[str]) -> None:
-        """Words carry their leading space. Closing punctuation is looked up apart from its word."""
-        if len(self.words) + len(words) > MEMORY:
+        """Hold all of ``words``, in a new table where this one would grow too large. Words carry their leading
+        space. Closing punctuation is looked up apart from its word."""
+        if len(self.words) + len(words - self.words.keys()) > MEMORY:
             self.words = {}
         split = {}
         fresh = set()
@@ -109,9 +110,8 @@ class WordTable:
             parts.append(None if not plain else text.replace(" ", "\0 ").split("\0") if "\0" not in text else None)
         known = self.words
         if missing := {w for p in parts if p for w in p if w not in known}:
-            self.learn(missing)
-            if self.words is not known:  # it began anew
-                self.learn({w for p in parts if p for w in p if w not in self.words})
+            anew = len(known) + len(missing) > MEMORY
+            self.learn({w for p in parts if p for w in p} if anew else missing)
         whole = iter(self.direct([t for t, p in zip(texts, parts, strict=True) if p is None]))
         find = self.words.__getitem__
         return [next(whole) if p is None else b"".join(map(find, p)) for p in parts]

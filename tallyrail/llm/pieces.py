@@ -238,9 +238,11 @@ class ChunkTable:
         self.ids: dict[str, str] = {}
         self.odd: dict[str, str] = {}
 
-    def learn(self, missing: set[str]) -> dict[str, str]:
+    def learn(self, words: set[str]) -> dict[str, str]:
+        """A table that holds all of ``words``: this one, or a new one of them alone where it would grow too large."""
+        missing = words - self.ids.keys()
         if len(self.ids) + len(missing) > MEMORY:
-            self.ids, self.odd = {}, {}
+            self.ids, self.odd, missing = {}, {}, words
         for word in missing:
             self.add(word)
         return self.ids
@@ -277,10 +279,7 @@ def encoded(table: ChunkTable, text: str) -> tuple[str, str]:
     try:
         ids = list(map(table.ids.__getitem__, words))
     except KeyError:
-        known = table.ids
-        known = table.learn({w for w in words if w not in known})
-        if any(w not in known for w in words):  # the table began anew
-            known = table.learn(set(words) - known.keys())
+        known = table.learn(set(words))
         ids = [known[w] for w in words]
     ids.append(str(table.model.end))
     decoded = "".join(words).replace(MARK, " ") if not table.odd else "".join([table.odd.get(w) or w.replace(MARK, " ") for w in words])
