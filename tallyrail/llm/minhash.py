@@ -2,8 +2,8 @@
 
 1. Each document gets the minima of ``BANDS * ROWS`` hash functions over its distinct word shingles. Each group of
    ``ROWS`` whole minima gives a band key; of every minimum only ``BITS`` low bits are kept, packed in words.
-2. Documents with equal sets form a class; one row of each class goes on.
-3. Classes that share a band key are candidates. Bit counts of the packed signatures give the share of equal entries,
+2. Documents with equal sets form a class, with its smallest doc_id; a set goes on once, by its hash.
+3. Sets that share a band key are candidates. Bit counts of the packed signatures give the share of equal entries,
    and that, corrected for chance agreement, an estimate of the similarity. Candidates below ``FLOOR`` are left.
 4. Families, the connected parts of what remains, hold every link: a pair at the threshold misses all bands with a
    chance of 1e-8 and falls below the floor with one of 1e-9. Inside a family, links are confirmed on whole sets.
@@ -165,36 +165,64 @@ def grown(similar, first: np.ndarray, rest: np.ndarray) -> Iterator[tuple[int, i
         rest = rest[~mask]
 
 
-def candidate_edges(classes: DataFrame) -> DataFrame:
-    """Edges a - b that connect the estimated-similar classes of each bucket."""
-    rows = classes.select("cid", "signature", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("least")).filter("n > 1")
-    members = rows.join(shared, "band").select("band", "cid", "signature", "n", "least")
-    crowded = members.filter(F.col("n") > BUCKET_LIMIT).select(F.col("cid").alias("a"), F.col("least").alias("b"))
+def shared_buckets(prints: DataFrame) -> DataFrame:
+    """bucket, s1 and n: the members of each bucket of two sets or more, once for all bands that have the same members.
+
+    Rows of a band and set meet sorted; a task holds the set hashes of one bucket, and a bucket's name is a hash of
+    its members, so that near copies, which share most bands, go on as one bucket.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in by_group(batches, "band", 20_000):
-            band, cid = table.column("band").to_numpy(), table.column("cid").to_numpy()
-            signs = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint64).reshape(-1, SIGNATURE_WORDS)
+        seen: set[int] = set()
+        for table in by_group(batches, "band", 100_000):
+            band, s1 = table.column("band").to_numpy(), table.column("s1").to_numpy()
+            fresh = np.r_[True, (band[1:] != band[:-1]) | (s1[1:] != s1[:-1])]  # equal texts are one member
+            band, s1 = band[fresh], s1[fresh]
             begins = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
-            first = np.repeat(begins, np.diff(np.r_[begins, len(band)]))
+            n = np.diff(np.r_[begins, len(band)])
+            name = mix64(np.add.reduceat(mix64(s1.view(np.uint64)), begins) + n.astype(np.uint64)).view(np.int64)
+            keep = n > 1
+            keep[keep] = [not (x in seen or seen.add(x)) for x in name[keep].tolist()]
+            if len(seen) > 500_000:  # later repeats fall to the distinct that follows
+                seen.clear()
+            rows = np.repeat(keep, n)
+            yield pa.record_batch([pa.array(np.repeat(name, n)[rows]), pa.array(s1[rows]), pa.array(np.repeat(n, n)[rows])], names=["bucket", "s1", "n"])
+
+    bands = prints.select("s1", F.explode("bands").alias("band")).select("band", "s1")
+    found = bands.repartition("band").sortWithinPartitions("band", "s1").mapInArrow(run, "bucket long, s1 long, n long")
+    return found.distinct()
+
+
+def candidate_edges(prints: DataFrame) -> DataFrame:
+    """Edges a - b, between set hashes s1, that connect the estimated-similar sets of each bucket."""
+    buckets = checkpointed(shared_buckets(prints))
+    signatures_ = prints.groupBy("s1").agg(F.first("signature").alias("signature"))
+    members = buckets.filter(F.col("n") <= BUCKET_LIMIT).join(signatures_, "s1").select("bucket", "s1", "signature")
+    crowded = buckets.filter(F.col("n") > BUCKET_LIMIT)
+    stars = crowded.join(crowded.groupBy("bucket").agg(F.min("s1").alias("b")), "bucket").select(F.col("s1").alias("a"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_group(batches, "bucket", 20_000):
+            bucket, s1 = table.column("bucket").to_numpy(), table.column("s1").to_numpy()
+            signs = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint64).reshape(-1, SIGNATURE_WORDS)
+            begins = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            ends = np.r_[begins[1:], len(bucket)]
+            first = np.repeat(begins, ends - begins)
             near = similarity(signs, signs[first]) >= FLOOR
-            own = np.arange(len(band)) != first
-            a, b = [cid[near & own]], [cid[first[near & own]]]
-            for begin in np.unique(first[~near]).tolist():
-                places = np.flatnonzero(first[begin:] == begin) + begin if begin == begins[-1] else np.arange(begin, begins[np.searchsorted(begins, begin) + 1])
+            own = near & (np.arange(len(bucket)) != first)
+            a, b = [s1[own]], [s1[first[own]]]
+            for k in np.unique(np.searchsorted(begins, first[~near])).tolist():
+                places = np.arange(begins[k], ends[k])
                 pairs = list(grown(lambda x, rest: similarity(signs[x], signs[rest]) >= FLOOR, places[near[places]], places[~near[places]]))
                 if pairs:
                     x, y = np.array(pairs).T
-                    a.append(cid[x])
-                    b.append(cid[y])
-            a, b = np.concatenate(a), np.concatenate(b)
-            pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                    a.append(s1[x])
+                    b.append(s1[y])
+            pairs = np.unique(np.sort(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=1), axis=0)
+            yield pa.record_batch([pa.array(pairs[:, 1]), pa.array(pairs[:, 0])], names=["a", "b"])
 
-    dealt = members.filter(F.col("n") <= BUCKET_LIMIT).select("band", "cid", "signature").repartition("band").sortWithinPartitions("band")
-    return dealt.mapInArrow(run, "a long, b long").union(crowded)
+    dealt = members.repartition("bucket").sortWithinPartitions("bucket", "s1")
+    return dealt.mapInArrow(run, "a long, b long").union(stars)
 
 
 def member_sets(docs: DataFrame, members: DataFrame, key: str, text: str) -> DataFrame:
@@ -336,15 +364,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     prints = checkpointed(fingerprints(docs, key, text))
     full = prints.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = checkpointed(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("cid"), F.first("bands").alias("bands"), F.first("signature").alias("signature")))
+    classes = checkpointed(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("cid")))
     of_doc = full.select("doc_id", "s1", "s2").join(classes.select("s1", "s2", "cid"), ["s1", "s2"])
     twice = of_doc.groupBy("doc_id").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).filter("least < most")
     shared = of_doc.join(twice, "doc_id").select(F.col("cid").alias("a"), F.col("least").alias("b"))
 
-    families = components(checkpointed(candidate_edges(classes)))
+    families = components(checkpointed(candidate_edges(full)))
     sizes = families.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    members = families.join(sizes, "label").select(F.col("node").alias("cid"), F.col("label").alias("family"), "size")
-    members = checkpointed(members.join(classes.select("cid", "s1"), "cid"))
+    members = families.join(sizes, "label").select(F.col("node").alias("s1"), F.col("label").alias("family"), "size")
+    members = checkpointed(members.join(classes.select("s1", "cid"), "s1").select("cid", "s1", "family", "size"))
     small, large = (member_sets(docs, members.filter(c), key, text) for c in (F.col("size") <= BLOCK, F.col("size") > BLOCK))
     links = whole_families(small)
     if not members.filter(F.col("size") > BLOCK).isEmpty():
