@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tallyrail.llm.lines import drop_boilerplate, text_lines
 from tallyrail.llm.minhash import near_duplicates
 from tallyrail.llm.packing import pack, token_pieces
-from tallyrail.llm.quality import classify
+from tallyrail.llm.quality import without_rejected
 from tallyrail.llm.repeats import without_repeats
 
 
@@ -34,8 +34,7 @@ def rewritten(docs: DataFrame, text) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the weak-label classifier rejects as junk or toxic."""
-    scored = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return without(docs, scored.filter("rejected"))
+    return without_rejected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

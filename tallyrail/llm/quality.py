@@ -280,6 +280,13 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
+def judged(model: Model, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """junk and toxic scores of the rows of a batch, and which rows are rejected."""
+    scores = model.scores(Words(*utf8(part.column("text"))))
+    junk, toxic = np.round(scores["junk"], 6), np.round(scores["toxic"], 6)
+    return junk, toxic, (junk >= CUT) | (toxic >= CUT)
+
+
 def classify(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, junk and toxic (scores from 0 to 1) and rejected of every row.
 
@@ -292,12 +299,24 @@ def classify(docs: DataFrame, labels: DataFrame, model: Model | None = None) ->
 
     def score(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text", 1 << 20):
-            scores = held.value.scores(Words(*utf8(part.column("text"))))
-            junk, toxic = np.round(scores["junk"], 6), np.round(scores["toxic"], 6)
-            yield pa.record_batch([part.column("doc_id"), pa.array(junk), pa.array(toxic), pa.array((junk >= CUT) | (toxic >= CUT))], names=["doc_id", "junk", "toxic", "rejected"])
+            junk, toxic, rejected = judged(held.value, part)
+            yield pa.record_batch([part.column("doc_id"), pa.array(junk), pa.array(toxic), pa.array(rejected)], names=["doc_id", "junk", "toxic", "rejected"])
 
     return map_arrow(docs.select("doc_id", "text"), score, "doc_id long, junk double, toxic double, rejected boolean")
 
 
+def without_rejected(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
+    """The rows that ``classify`` doesn't reject, with all their columns. Rows are judged where they are read, so
+    nothing is joined or shuffled."""
+    model = model or trained(docs, labels)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in slices(batch, "text", 1 << 20):
+            yield part.filter(pa.array(~judged(held.value, part)[2]))
+
+    return map_arrow(docs, keep, docs.schema)
+
+
 def op6_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
