@@ -24,6 +24,8 @@ from .common import checkpointed, map_arrow, read_table, stream64
 NEIGHBOURS, TABLES, BUCKET_ROWS = 20, 24, 20_000
 #: Probes of a table are SCALE / sqrt(rows), within these bounds: the nearest of few rows lie farther off.
 SCALE, LEAST_PROBES, MOST_PROBES = 20_000, 64, 4096
+#: Scored pairs that a task holds before it reduces them to the best of each query.
+HELD_PAIRS = 1_000_000
 #: Norms that differ by less than this share count as one, and vectors then need no further coordinate.
 EVEN = 1e-3
 
@@ -157,16 +159,20 @@ def nearest(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embeddi
         now, ids, vectors, wanted = None, np.zeros(0, np.int64), np.zeros((0, width)), np.zeros((0, axes), bool)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
+        def shrink() -> None:
+            """Keep the k + 1 best of each query."""
+            q, v, s = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((v, -s, q))
+            order = order[np.r_[True, (np.diff(q[order]) != 0) | (np.diff(v[order]) != 0)]]  # tables find a pair again
+            q, v, s = q[order], v[order], s[order]
+            first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+            rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+            found[:] = [(q[rank <= k], v[rank <= k], s[rank <= k])]
+
         def release() -> Iterator[pa.RecordBatch]:
             if found:
-                q, v, s = (np.concatenate(c) for c in zip(*found, strict=True))
-                order = np.lexsort((v, -s, q))
-                order = order[np.r_[True, (np.diff(q[order]) != 0) | (np.diff(v[order]) != 0)]]  # tables find a pair again
-                q, v, s = q[order], v[order], s[order]
-                first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-                rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
-                keep = rank <= k
-                yield pa.record_batch([pa.array(q[keep]), pa.array(v[keep]), pa.array(s[keep])], names=["question", "id", "score"])
+                shrink()
+                yield pa.record_batch([pa.array(x) for x in found[0]], names=["question", "id", "score"])
                 found.clear()
 
         for batch in batches:
@@ -188,8 +194,10 @@ def nearest(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embeddi
                 for at in range(0, len(ids), 256):  # those in the query's second axes alone
                     x, y = np.nonzero(wanted[at : at + 256][:, axis])
                     found.append((ids[at : at + 256][x], id_[s:e][y], products(vectors[at : at + 256], v[s:e], x, y)))
-                if sum(len(f[0]) for f in found) > 200_000:
-                    yield from release()
+                if sum(len(f[0]) for f in found) > HELD_PAIRS:
+                    shrink()
+                    if len(found[0][0]) > HELD_PAIRS // 2:
+                        yield from release()
         yield from release()
 
     best = both.mapInArrow(run, "question long, id long, score double")
