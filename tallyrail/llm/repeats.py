@@ -32,7 +32,7 @@ from .common import checkpointed, map_arrow, mix64, read_table, slices, utf8
 from .hashing import PrefixHash, window_minima
 
 #: Bytes of a string that counts, and of the k-gram that names it.
-SIZE, GRAM = 400, 64
+SIZE, GRAM = 400, 160
 #: Unlike windows of one anchor that a task lays out, windows of a batch, and of a partition on average.
 GROUP_LIMIT, BATCH_WINDOWS, PARTITION_WINDOWS = 4096, 8192, 16_384
 #: Starts of a document that are hashed at a time.
