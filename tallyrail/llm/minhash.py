@@ -373,10 +373,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sizes = families.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     members = families.join(sizes, "label").select(F.col("node").alias("s1"), F.col("label").alias("family"), "size")
     members = checkpointed(members.join(classes.select("s1", "cid"), "s1").select("cid", "s1", "family", "size"))
-    small, large = (member_sets(docs, members.filter(c), key, text) for c in (F.col("size") <= BLOCK, F.col("size") > BLOCK))
-    links = whole_families(small)
+    sets = checkpointed(member_sets(docs, members, key, text))  # read by the steps below, so texts are shuffled once
+    links = whole_families(sets.filter(F.col("size") <= BLOCK))
     if not members.filter(F.col("size") > BLOCK).isEmpty():
-        large = checkpointed(large)
+        large = sets.filter(F.col("size") > BLOCK)
         first = checkpointed(leader_links(large))
         links = links.union(first)
         if (more := block_links(large, first)) is not None:
