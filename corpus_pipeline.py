@@ -20,6 +20,10 @@ from tallyrail.llm.quality import without_rejected
 from tallyrail.llm.repeats import without_repeats
 
 
+#: Words of the shortest passage that no two documents may share: over 50.
+PASSAGE_WORDS = 51
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows whose doc_id isn't among the ids of ``gone``."""
     ids = gone.select(F.col("doc_id").alias("gone_")).filter("gone_ IS NOT NULL").distinct()
@@ -50,10 +54,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove every byte of long strings that occur more than once; documents stay, with what is left."""
+    """Remove every byte of passages of ``PASSAGE_WORDS`` words, and of strings of op8's size, that occur more than
+    once; documents stay, with what is left. The byte size holds for scripts that don't part words by spaces."""
     names = {c: f"d{k}_" for k, c in enumerate(docs.columns)}
     held = docs.select(F.struct(*[F.col(c).alias(a) for c, a in names.items() if c != "text"]).alias("row_"), "text")
-    cut = without_repeats(held, key="row_", whole=True)
+    cut = without_repeats(held, key="row_", whole=True, words=PASSAGE_WORDS)
     out = cut.select(*[F.col("kept").alias("text") if c == "text" else F.col(f"doc_id.{a}").alias(c) for c, a in names.items()])
     return rewritten(out, F.col("text")).select(*docs.columns)
 

@@ -25,11 +25,12 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 class PrefixHash:
-    """``of(starts, ends)`` is a 64-bit hash of each buffer[start:end] that depends on those bytes alone."""
+    """``of(starts, ends)`` is a 64-bit hash of each buffer[start:end] that depends on those symbols alone: bytes, or
+    uint64 values that are hashes themselves."""
 
     def __init__(self, data: np.ndarray):
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(SYMBOLS[data] * powers(BASE, len(data)), out=self.sums[1:])
+        np.cumsum((data if data.dtype == np.uint64 else SYMBOLS[data]) * powers(BASE, len(data)), out=self.sums[1:])
         self.back = powers(INVERSE, len(data) + 1)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

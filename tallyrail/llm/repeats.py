@@ -16,6 +16,9 @@ batches; only the current batch's segment is held.
 
 Anchors whose windows differ in more than ``GROUP_LIMIT`` ways are not laid out in one task. Their strings are counted
 one by one by hash, place and anchor, in aggregations that combine before the shuffle.
+
+Strings are of bytes, or of words: then the 64-bit hash of each word between white space is one symbol, and sizes and
+places count words, however many bytes they take and whatever white space stands between them.
 """
 
 from __future__ import annotations
@@ -33,12 +36,54 @@ from .hashing import PrefixHash, window_minima
 
 #: Bytes of a string that counts, and of the k-gram that names it.
 SIZE, GRAM = 400, 160
+#: Words of the k-gram that names a string of words.
+WORD_GRAM = 24
 #: Unlike windows of one anchor that a task lays out, windows of a batch, and of a partition on average.
 GROUP_LIMIT, BATCH_WINDOWS, PARTITION_WINDOWS = 4096, 8192, 16_384
 #: Starts of a document that are hashed at a time.
 PART = 1 << 20
 POSITION = np.uint64((1 << 28) - 1)
 UID = ["u1", "u2"]
+#: White space of one byte, first bytes of longer white space, and words that are hashed at a time.
+BLANK = np.isin(np.arange(256), list(b"\t\n\v\f\r\x1c\x1d\x1e\x1f "))
+LONGER = [x.encode() for x in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
+LONGER_HEAD = np.isin(np.arange(256), [x[0] for x in LONGER])
+PART_WORDS = 1 << 17
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each word of the rows' UTF-8; words are what str.split() finds."""
+    blank = BLANK[data]
+    heads = np.flatnonzero(LONGER_HEAD[data])
+    for mark in LONGER if len(heads) else []:
+        at = heads[heads <= len(data) - len(mark)]
+        at = at[np.all([data[at + k] == b for k, b in enumerate(mark)], axis=0)]
+        for k in range(len(mark)):
+            blank[at + k] = True
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    begin = np.flatnonzero(~blank & (np.r_[True, blank[:-1]][: len(data)] | edge[:-1]))
+    end = np.flatnonzero(~blank & (np.r_[blank[1:], True][: len(data)] | edge[1:])) + 1
+    return begin, end
+
+
+def symbols_of(column: pa.Array, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a text column, or the hashes of its words, and the row offsets into them."""
+    data, offsets = utf8(column)
+    if not words:
+        return data, offsets
+    begin, end = word_bounds(data, offsets)
+    hashes = np.zeros(len(begin), np.uint64)
+    for s in range(0, len(begin), PART_WORDS):
+        b, e = begin[s : s + PART_WORDS], end[s : s + PART_WORDS]
+        hashes[s : s + PART_WORDS] = PrefixHash(data[b[0] : e[-1]]).of(b - b[0], e - b[0])
+    return hashes, np.searchsorted(begin, offsets)
+
+
+def bodies_of(column: pa.Array, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of a column of ``fetched`` windows and the row offsets into them."""
+    data, offsets = utf8(column)
+    return (np.frombuffer(data.tobytes(), np.uint64), offsets // 8) if words else (data, offsets)
 
 
 def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -50,7 +95,7 @@ def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def anchors(docs: DataFrame, size: int, gram: int) -> DataFrame:
+def anchors(docs: DataFrame, size: int, gram: int, words: bool = False) -> DataFrame:
     """One row per window: anchor hash g, window hash h, u1, u2, and the positions of its anchor and its first and
     last start."""
     width = size - gram + 1
@@ -74,7 +119,7 @@ def anchors(docs: DataFrame, size: int, gram: int) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text", PART):
-            data, offsets = utf8(part.column("text"))
+            data, offsets = symbols_of(part.column("text"), words)
             jobs = [(data, offsets, 0)]
             if len(part) == 1 and offsets[1] > PART + size:
                 jobs = [(data[s : s + PART + size - 1], np.array([0, len(data[s : s + PART + size - 1])]), s) for s in range(0, int(offsets[1]) - size + 1, PART)]
@@ -89,18 +134,20 @@ def anchors(docs: DataFrame, size: int, gram: int) -> DataFrame:
     return map_arrow(docs.select("u1", "u2", "text"), run, "g long, h long, u1 long, u2 long, a long, lo long, hi long")
 
 
-def fetched(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """g, h, place of the first start before the anchor, number of starts and bytes of each wanted window."""
+def fetched(docs: DataFrame, wanted: DataFrame, size: int, words: bool = False) -> DataFrame:
+    """g, h, place of the first start before the anchor, number of starts and bytes of each wanted window; with
+    ``words`` eight bytes for each word's hash."""
+    unit = 8 if words else 1
     lists = wanted.groupBy(*UID).agg(F.collect_list(F.struct("g", "h", "a", "lo", "hi")).alias("windows"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for text, windows in zip(batch.column("text"), batch.column("windows"), strict=True):
-            data = text.as_buffer().to_pybytes()
+            data = symbols_of(pa.array([text]), True)[0].tobytes() if words else text.as_buffer().to_pybytes()
             w = windows.as_py()
             yield pa.record_batch(
                 [
                     pa.array([x["g"] for x in w], pa.int64()), pa.array([x["h"] for x in w], pa.int64()), pa.array([x["a"] - x["lo"] for x in w], pa.int32()),
-                    pa.array([x["hi"] - x["lo"] + 1 for x in w], pa.int32()), pa.array([data[x["lo"] : x["hi"] + size] for x in w], pa.binary()),
+                    pa.array([x["hi"] - x["lo"] + 1 for x in w], pa.int32()), pa.array([data[x["lo"] * unit : (x["hi"] + size) * unit] for x in w], pa.binary()),
                 ],
                 names=["g", "h", "before", "starts", "bytes"],
             )
@@ -109,17 +156,23 @@ def fetched(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return map_arrow(joined, run, "g long, h long, before int, starts int, bytes binary")
 
 
-def repeated_columns(group: np.ndarray, before: np.ndarray, starts: np.ndarray, bodies: list[bytes], size: int, gram: int) -> np.ndarray:
+def repeated_columns(group: np.ndarray, before: np.ndarray, starts: np.ndarray, bodies: list[np.ndarray], size: int, gram: int) -> np.ndarray:
     """Column-wise construction over windows sorted by group: repeated[window, start], as far as other windows of
     its group show."""
     m, lead = len(group), size - gram
     width = lead + size
-    symbols = np.full((m, width), 256, np.int16)  # 256: no symbol, unlike any other
+    codes, none = np.concatenate(bodies), 256  # no symbol, unlike any other
+    if codes.dtype != np.uint8:
+        known, codes = np.unique(codes, return_inverse=True)
+        none = len(known)
+    symbols = np.full((m, width), none, np.int16 if none < 1 << 15 else np.int32)
+    done = 0
     for k, body in enumerate(bodies):
         at = lead - before[k]
-        symbols[k, at : at + len(body)] = np.frombuffer(body, np.uint8)
+        symbols[k, at : at + len(body)] = codes[done : done + len(body)]
+        done += len(body)
     columns = np.ascontiguousarray(symbols.T)
-    number = np.cumsum(np.r_[0, np.diff(group) != 0]).astype(np.int64) * 257
+    number = np.cumsum(np.r_[0, np.diff(group) != 0]).astype(np.int64) * (none + 1)
     order, common = np.arange(m), np.zeros(m + 1, np.int64)  # common[k]: of the suffixes at k - 1 and k
     repeated = np.zeros((m, lead + 1), bool)
     for column in range(width - 1, -1, -1):
@@ -127,7 +180,7 @@ def repeated_columns(group: np.ndarray, before: np.ndarray, starts: np.ndarray,
         key = number[order] + segment
         turn = np.argsort(key, kind="stable")
         key = key[turn]
-        joined = np.flatnonzero((key[1:] == key[:-1]) & (segment[turn[1:]] != 256)) + 1
+        joined = np.flatnonzero((key[1:] == key[:-1]) & (segment[turn[1:]] != none)) + 1
         longer = np.zeros(m + 1, np.int64)
         if len(joined):
             bounds = np.stack([turn[joined - 1] + 1, turn[joined] + 1], axis=1).reshape(-1)
@@ -153,14 +206,15 @@ def runs(mask: np.ndarray) -> list[tuple[int, int]]:
 SPANS = "array<struct<first:int,last:int>>"
 
 
-def constructed(windows: DataFrame, count: int, size: int, gram: int) -> DataFrame:
+def constructed(windows: DataFrame, count: int, size: int, gram: int, words: bool = False) -> DataFrame:
     """g, h and spans of repeated starts of each window, from the other windows of its anchor."""
 
     def solve(rows: pa.Table) -> pa.RecordBatch:
         g, h = rows.column("g").to_numpy(), rows.column("h").to_numpy()
         rows = rows.filter(pa.array(np.r_[True, (g[1:] != g[:-1]) | (h[1:] != h[:-1])]))  # rows repeated in the table
         g = rows.column("g").to_numpy()
-        found = repeated_columns(g, rows.column("before").to_numpy(), rows.column("starts").to_numpy(), rows.column("bytes").to_pylist(), size, gram)
+        bodies = [np.frombuffer(x, np.uint64 if words else np.uint8) for x in rows.column("bytes").to_pylist()]
+        found = repeated_columns(g, rows.column("before").to_numpy(), rows.column("starts").to_numpy(), bodies, size, gram)
         some = np.flatnonzero(found.any(axis=1))
         spans = [[{"first": s, "last": e} for s, e in runs(found[k])] for k in some]
         return pa.record_batch(
@@ -189,12 +243,12 @@ def constructed(windows: DataFrame, count: int, size: int, gram: int) -> DataFra
     return dealt.mapInArrow(run, f"g long, h long, spans {SPANS}")
 
 
-def counted(windows: DataFrame, size: int) -> DataFrame:
+def counted(windows: DataFrame, size: int, words: bool = False) -> DataFrame:
     """The same result for anchors with too many unlike windows: strings are counted by anchor, place and hash."""
 
     def strings(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "bytes", 1 << 18):
-            data, offsets = utf8(part.column("bytes"))
+            data, offsets = bodies_of(part.column("bytes"), words)
             hashes = PrefixHash(data)
             n = part.column("starts").to_numpy()
             row = np.repeat(np.arange(len(n)), n)
@@ -212,9 +266,9 @@ def counted(windows: DataFrame, size: int) -> DataFrame:
     return rows.join(twice, keys).groupBy("g", "h").agg(F.collect_list(F.struct(F.col("start").alias("first"), F.col("start").alias("last"))).alias("spans"))
 
 
-def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, words: bool = False) -> DataFrame:
     """u1, u2 and spans (array of first and last repeated start) of each document of ``identified`` that has any."""
-    found = anchors(docs, size, gram)
+    found = anchors(docs, size, gram, words)
     twice = found.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g")
     windows = checkpointed(found.join(twice, "g"))
     kinds = windows.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("u1", "u2", "a", "lo", "hi")).alias("one"))
@@ -224,10 +278,10 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataF
     unlike = kinds.join(mixed, "g").select("g", "h", "kinds", "n", "one.*")
     unlike = checkpointed(unlike)
     laid = unlike.filter(F.col("kinds") <= GROUP_LIMIT)
-    spans = checkpointed(constructed(fetched(docs, laid, size), laid.count(), size, gram))
+    spans = checkpointed(constructed(fetched(docs, laid, size, words), laid.count(), size, gram, words))
     crowded = unlike.filter(F.col("kinds") > GROUP_LIMIT)
     if not crowded.isEmpty():
-        spans = checkpointed(spans.unionByName(counted(checkpointed(fetched(docs, crowded, size).dropDuplicates(["g", "h"])), size)))
+        spans = checkpointed(spans.unionByName(counted(checkpointed(fetched(docs, crowded, size, words).dropDuplicates(["g", "h"])), size, words)))
     known = spans.join(whole, ["g", "h"], "left_anti").unionByName(
         whole.withColumn("spans", F.lit(None).cast(SPANS))
     )
@@ -241,10 +295,10 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataF
     return each.groupBy(*UID).agg(F.collect_set("span").alias("spans"))
 
 
-def covered(n: int, spans: list[dict] | None, size: int) -> list[tuple[int, int]]:
-    """Maximal [begin, end) runs of bytes that the strings at the spans' starts cover."""
+def covered(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal [begin, end) runs of bytes that the ranges cover."""
     out: list[tuple[int, int]] = []
-    for begin, end in sorted((s["first"], s["last"] + size) for s in spans or []):
+    for begin, end in sorted(ranges):
         if out and begin <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], end))
         else:
@@ -252,21 +306,31 @@ def covered(n: int, spans: list[dict] | None, size: int) -> list[tuple[int, int]
     return out
 
 
-def without_repeats(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text: str = "text", whole: bool = False, words: int = 0) -> DataFrame:
     """Remove each byte that a string of ``size`` bytes covers that also starts elsewhere, same document included.
+    With ``words`` also each that a string of so many words covers that also starts elsewhere, from the first byte of
+    its first word to the last of its last.
 
     A row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``whole`` the kept bytes as text too,
     in which a character cut by a span is left out. Null and empty texts, and texts below ``size`` bytes, lose nothing
     themselves. Strings are judged on the input: both copies of a repeated row go. An empty table gives no rows.
     """
     rows = identified(docs, key, text)
-    joined = rows.join(repeated_spans(rows, size), UID, "left").select("doc_id", "text", "spans")
+    joined = rows.join(repeated_spans(rows, size), UID, "left")
+    if words:
+        gram = min(WORD_GRAM, words)
+        joined = joined.join(repeated_spans(rows, words, gram, True).withColumnRenamed("spans", "word_spans"), UID, "left")
+    joined = joined.select("doc_id", "text", "spans", *["word_spans"] * bool(words))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         found = []
-        for body, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
+        for row, (body, spans) in enumerate(zip(batch.column("text"), batch.column("spans"), strict=True)):
             data = body.as_buffer().to_pybytes()
-            cuts = covered(len(data), spans.as_py(), size)
+            ranges = [(s["first"], s["last"] + size) for s in spans.as_py() or []]
+            if words and (of_words := batch.column("word_spans")[row].as_py()):
+                begin, end = word_bounds(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+                ranges += [(int(begin[s["first"]]), int(end[s["last"] + words - 1])) for s in of_words]
+            cuts = covered(ranges)
             kept = data
             if cuts:
                 edges = [0, *[x for c in cuts for x in c], len(data)]

@@ -1,5 +1,6 @@
 """Each stage of the pipeline against a plain version on its own input."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -68,6 +69,20 @@ def test_repeats(stages):
         assert removed or old == new
 
 
+def test_repeats_of_51_short_words(spark):
+    rnd = random.Random(5)
+    words = lambda n: [rnd.choice("abcdefgh") + rnd.choice("abcdefgh") for _ in range(n)]
+    planted, short, tails = words(51), words(50), [words(30) for _ in range(4)]
+    texts_ = [
+        " ".join([*tails[0], *planted, "end"]), "\n".join(["x", *planted[:20]]) + "\n" + " ".join([*planted[20:], "y", *tails[1]]),
+        " ".join([*tails[2], *short]), " ".join([*short, *tails[3]]),
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    got = dict(texts(pipeline.repeats(spark, docs, "")))
+    assert got[0].split() == [*tails[0], "end"] and got[1].split() == ["x", "y", *tails[1]]
+    assert got[2] == texts_[2] and got[3] == texts_[3]
+
+
 def test_packing(stages):
     _, before, after = stages[4]
     assert {r.doc_id for r in after.select("doc_id").collect()} == {k for k, _ in texts(before)}

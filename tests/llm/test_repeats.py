@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -63,3 +64,36 @@ def test_long_documents_are_hashed_in_parts(spark, monkeypatch):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert repeats.without_repeats(docs).count() == 0
+
+
+def word_brute(rows, size, words):
+    """kept text of each row, by counting every string of bytes and of words."""
+    spots = {k: [(m.start(), m.end()) for m in re.finditer(r"\S+", t)] for k, t in rows}
+    parts = {k: [t[b:e] for b, e in spots[k]] for k, t in rows}
+    counts = Counter(tuple(p[i : i + words]) for p in parts.values() for i in range(len(p) - words + 1))
+    strings = Counter(t[i : i + size] for _, t in rows for i in range(len(t) - size + 1))
+    out = {}
+    for k, t in rows:
+        gone = [False] * len(t)
+        cuts = [(spots[k][i][0], spots[k][i + words - 1][1]) for i in range(len(parts[k]) - words + 1) if counts[tuple(parts[k][i : i + words])] > 1]
+        cuts += [(i, i + size) for i in range(len(t) - size + 1) if strings[t[i : i + size]] > 1]
+        for b, e in cuts:
+            gone[b:e] = [True] * (e - b)
+        out[k] = "".join(c for c, g in zip(t, gone, strict=True) if not g)
+    return out
+
+
+@pytest.mark.parametrize("limit", [4096, 1])
+def test_words_against_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(repeats, "GROUP_LIMIT", limit)
+    monkeypatch.setattr(repeats, "WORD_GRAM", 3)
+    rnd = random.Random(4)
+    word = lambda: rnd.choice(["a", "be", "see", "it", "go", "word"])
+    passages = [[word() for _ in range(rnd.randint(5, 20))] for _ in range(6)]
+    rows = []
+    for k in range(60):
+        parts = [rnd.choice(passages) if rnd.random() < 0.4 else [word() for _ in range(rnd.randint(0, 9))] for _ in range(rnd.randint(0, 5))]
+        rows.append((k, "".join(w + rnd.choice([" ", "\n", "  ", "\u3000", "\xa0"]) for p in parts for w in p)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.kept for r in repeats.without_repeats(docs, 400, whole=True, words=8).collect()}
+    assert got == word_brute(rows, 400, 8)
