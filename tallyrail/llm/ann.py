@@ -5,12 +5,15 @@ to the nearest of the signed axes: the coordinate of largest size, with its sign
 query probes, in each table, the buckets of the axes that come next, in order of what they lose against the best. The
 vectors of the probed buckets are the candidates, which are ranked by their exact inner products.
 
-Inner product search is turned to search among unit vectors by one more coordinate: vectors are scaled by the largest
-norm and get the length that is missing to 1, queries get 0 there. Vectors of one norm go without it.
+Inner product search is turned to search among unit vectors by bands of norms. Vectors are hashed by their directions,
+and those of a band, whose norms differ by a tenth at most, have buckets of their own, which a query probes as many of
+as the band's rows ask for: what is among the best of all is among the best of its band, and there the norm hardly
+counts. The vectors of all bands of few rows form one more bucket that every query probes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +29,8 @@ NEIGHBOURS, TABLES, BUCKET_ROWS = 20, 24, 20_000
 SCALE, LEAST_PROBES, MOST_PROBES = 20_000, 64, 4096
 #: Scored pairs that a task holds before it reduces them to the best of each query.
 HELD_PAIRS = 1_000_000
-#: Norms that differ by less than this share count as one, and vectors then need no further coordinate.
-EVEN = 1e-3
+#: Least norm of a band by its largest, and the rows up to which a band is ranked whole. BARE is the band of those.
+BAND, FEW_ROWS, BARE = 0.9, 128, -1
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -51,6 +54,11 @@ def rotated(x: np.ndarray, seed: int) -> np.ndarray:
     return x
 
 
+def axes_of(width: int) -> int:
+    """Signed axes of rotated rows of ``width`` components."""
+    return 2 << max(1, (width - 1).bit_length())
+
+
 def ranked_axes(y: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``count`` signed axes nearest to each row, nearest first, as numbers 2 i + (negative), and their lengths."""
     signed = np.stack([y, -y], axis=2).reshape(len(y), -1)
@@ -92,28 +100,40 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def hashed(rows: DataFrame, norm: float, even: bool, tables: int, probes: int) -> DataFrame:
-    """bucket (table and first axis), id, axes (the second axes) and v. An index row has one bucket of one axis in
-    each table; a query (``probes`` > 1) has a row for each first axis that it probes, with all second axes."""
+def hashed(rows: DataFrame, tables: int, bands: list[tuple[int, int]] | None = None) -> DataFrame:
+    """bucket (band, first axis and table), id, axes (the second axes) and v. An index row, with its ``band``, has one
+    bucket of one axis in each table, and one in all in the band BARE. A query has a row for each first axis that it
+    probes, with all second axes, in each of the ``bands`` (number and probes)."""
     kind = rows.schema["v"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        whole = np.arange(len(batch)) if bands is not None else np.flatnonzero(batch.column("band").to_numpy() == BARE)
+        if len(whole) and (bands is None or any(band == BARE for band, _ in bands)):
+            axes = pa.ListArray.from_arrays(pa.array(np.arange(len(whole) + 1), pa.int32()), pa.array(np.zeros(len(whole)), pa.int32()))
+            yield pa.record_batch([pa.array(np.full(len(whole), -1), pa.int64()), batch.column("id").take(pa.array(whole)), axes, batch.column("v").take(pa.array(whole))], names=["bucket", "id", "axes", "v"])
+        if bands is None:
+            batch = batch.filter(pa.array(batch.column("band").to_numpy() != BARE))
+        probed = [x for x in bands if x[0] != BARE] if bands is not None else [(None, 1)]
+        if not len(batch) or not probed:
+            return
         x = matrix(batch.column("v"))
-        if probes > 1:
-            x = np.pad(x / np.linalg.norm(x, axis=1, keepdims=True), ((0, 0), (0, 0 if even else 1)))
-        elif not even:
-            x = np.hstack([x / norm, np.sqrt(np.maximum(0, 1 - ((x / norm) ** 2).sum(axis=1, keepdims=True)))])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        number = batch.column("band").to_numpy() if bands is None else None
+        width = axes_of(x.shape[1])
         for table in range(tables):
-            a, b = buckets(x, table, probes)
-            row = np.repeat(np.arange(len(x)), a.shape[1])
-            order = np.lexsort((a.reshape(-1), row))
-            row, a, b = row[order], a.reshape(-1)[order], b.reshape(-1)[order]
-            first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (a[1:] != a[:-1])])
-            axes = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)], pa.int32()), pa.array(b, pa.int32()))
-            at = pa.array(row[first])
-            yield pa.record_batch([pa.array(a[first] * tables + table, pa.int64()), batch.column("id").take(at), axes, batch.column("v").take(at)], names=["bucket", "id", "axes", "v"])
+            best = buckets(x, table, max(probes for _, probes in probed))
+            for band, probes in probed:
+                a, b = (c[:, :probes] for c in best)
+                row = np.repeat(np.arange(len(x)), a.shape[1])
+                order = np.lexsort((a.reshape(-1), row))
+                row, a, b = row[order], a.reshape(-1)[order], b.reshape(-1)[order]
+                first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (a[1:] != a[:-1])])
+                axes = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)], pa.int32()), pa.array(b, pa.int32()))
+                at = pa.array(row[first])
+                of = number[row[first]] if band is None else band
+                yield pa.record_batch([pa.array((of * width + a[first]) * tables + table, pa.int64()), batch.column("id").take(at), axes, batch.column("v").take(at)], names=["bucket", "id", "axes", "v"])
 
-    return map_arrow(rows.select("id", "v"), run, f"bucket long, id long, axes array<int>, v {kind}")
+    return map_arrow(rows.select("id", "v", *["band"] * (bands is None)), run, f"bucket long, id long, axes array<int>, v {kind}")
 
 
 def nearest(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", k: int = NEIGHBOURS, tables: int = TABLES, probes: int | None = None) -> DataFrame:
@@ -138,22 +158,28 @@ def nearest(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embeddi
     salted = rows.groupBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).agg(few(F.collect_set("vec_id")).alias("ids"))
     entries = checkpointed(salted.groupBy("v").agg(few(F.flatten(F.collect_list("ids"))).alias("ids")).select(F.col("ids")[0].alias("id"), "v", "ids"))
     square = F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x)
-    low, high, n = entries.agg(F.min(square) ** 0.5, F.max(square) ** 0.5, F.count(F.lit(1))).first()
-    probes = probes or max(LEAST_PROBES, min(MOST_PROBES, int(SCALE / n**0.5)))
-    even = low >= high * (1 - EVEN)
+    usual = (square > 0) & (square < float("inf"))  # squares of the others leave the range of doubles
+    high = entries.agg(F.max(F.when(usual, square))).first()[0] or 1.0
+    band = F.when(usual, F.floor(F.log(F.lit(high) / square) / F.lit(-2 * math.log(BAND))).cast("long")).otherwise(F.lit(BARE))
+    banded = entries.select("id", "v", band.alias("band"))
+    sizes = {r["band"]: r["count"] for r in banded.groupBy("band").count().collect()}
+    bands = [(b, probes or max(LEAST_PROBES, min(MOST_PROBES, int(SCALE / n**0.5)))) for b, n in sorted(sizes.items()) if b != BARE and n > FEW_ROWS]
+    if len(bands) < len(sizes):
+        banded = banded.withColumn("band", F.when(F.col("band").isin([b for b, _ in bands]), F.col("band")).otherwise(F.lit(BARE)))
+        bands.append((BARE, 1))
     asked = rows.filter(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "v").join(entries.select("v", "id"), "v").select("query_id", "id")
     asked = checkpointed(asked)
     questions = entries.join(asked.select("id").distinct(), "id", "left_semi")
 
-    index = hashed(entries, high, even, tables, 1)
+    index = hashed(banded, tables)
     counts = index.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).select("bucket", F.ceil(F.col("n") / F.lit(BUCKET_ROWS)).cast("int").alias("parts"))
     counts = checkpointed(counts)
     data = index.join(counts, "bucket").select("bucket", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), "id", "axes", "v")
-    probes_ = hashed(questions, high, even, tables, probes).join(counts, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "id", "axes", "v")
+    probes_ = hashed(questions, tables, bands).join(counts, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "id", "axes", "v")
     both = data.union(probes_).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "side", "id")
 
     width = length["n"]
-    axes = 2 << max(1, (width - (1 if even else 0)).bit_length())
+    axes = axes_of(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, vectors, wanted = None, np.zeros(0, np.int64), np.zeros((0, width)), np.zeros((0, axes), bool)

@@ -58,3 +58,22 @@ def test_recall(spark):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     hits = sum(len(got.get(q, set()) & {i for i, _ in v}) for q, v in want.items())
     assert hits >= 0.9 * sum(map(len, want.values()))
+
+
+@pytest.mark.parametrize("norms", ["one long", "few long", "spread"])
+def test_recall_with_uneven_norms(spark, norms):
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "spread":
+        x *= np.exp(rnd.normal(size=(4000, 1)) / 2)
+    else:
+        x[7 : 8 if norms == "one long" else 12] *= 3
+    x = x.astype(np.float32)
+    got = searched(spark, [(i, [float(a) for a in v]) for i, v in enumerate(x)])
+    hits = 0
+    for q in range(0, len(x), 20):
+        scores = x.astype(float) @ x[q].astype(float)
+        scores[q] = -np.inf
+        hits += len({i for i, _ in got.get(q, [])} & set(np.argsort(-scores)[:20].tolist()))
+    assert hits >= 0.9 * 20 * len(range(0, len(x), 20))
