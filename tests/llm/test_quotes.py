@@ -74,3 +74,23 @@ def test_empty_table(spark):
 def test_conversations_without_quotations_keep_their_order(spark, small):
     got = quotes.op4_quotation_linking(spark, small).collect()
     assert got and all(r.root == r.turn == r.position and r.reply_to is None for r in got)
+
+
+def test_passages_levels_short_ones_and_scripts_without_spaces(spark):
+    rows = [
+        (1, 0, "The first of all messages says a good deal\nabout nothing in particular, and ends here."),
+        (1, 1, "> The first of all\n> messages says a good deal about nothing\n> in particular, and ends here.\nRewrapped above"),
+        (1, 2, ">> about nothing in particular, and ends here.\nOnly nested above"),
+        (2, 0, "Yes, please"),
+        (2, 1, "Something else entirely"),
+        (2, 2, "> Yes, please\nThank you"),
+        (2, 3, "> Yes,\n> please\nOnce more"),
+        (2, 4, "> No, thanks\nNobody said that"),
+        (3, 0, "\u4eca\u65e5\u306f\u3068\u3066\u3082\u3044\u3044\u5929\u6c17\u3067\u3059\u306d"),
+        (3, 1, "> \u4eca\u65e5\u306f\u3068\u3066\u3082\n> \u3044\u3044\u5929\u6c17\u3067\u3059\u306d\n\u306f\u3044"),
+    ]
+    messages = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.reply_to, r.root, r.n_quoted, r.n_linked) for r in quotes.link_quotations(messages).collect()}
+    assert got[1, 1] == (0, 0, 3, 3) and got[1, 2] == (0, 0, 1, 1)
+    assert got[2, 2] == (0, 0, 1, 1) and got[2, 3] == (0, 0, 2, 2) and got[2, 4] == (None, 4, 1, 0)
+    assert got[3, 1] == (0, 0, 2, 2)
