@@ -240,7 +240,7 @@ class ChunkTable:
 
     def learn(self, words: set[str]) -> dict[str, str]:
         """A table that holds all of ``words``: this one, or a new one of them alone where it would grow too large."""
-        missing = words - self.ids.keys()
+        missing = {w for w in words if w not in self.ids}  # not a difference of sets, which walks the table
         if len(self.ids) + len(missing) > MEMORY:
             self.ids, self.odd, missing = {}, {}, words
         for word in missing:

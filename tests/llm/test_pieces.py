@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -43,6 +44,15 @@ def test_table_begins_anew(library, monkeypatch):
         same(library, f"word{k} other{k % 3}, third. {k}")
 
 
+def test_one_more_word_does_not_walk_the_table():
+    table = pieces.ChunkTable(pieces.model_of(PATH))
+    table.ids = {f"{pieces.MARK}known{k}": "1" for k in range(600_000)}
+    began = time.perf_counter()
+    for k in range(500):
+        table.learn({f"{pieces.MARK}fresh{k}", f"{pieces.MARK}known{k}"})
+    assert time.perf_counter() - began < 2.5  # a walk takes about 20 ms each, 10 s in all
+
+
 def test_rows(spark, small, library):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
     docs = docs.union(spark.createDataFrame([(None, None), (900, ""), (901, "w " * 30_000), (901, "w " * 30_000)], "doc_id long, text string"))
