@@ -87,7 +87,7 @@ class WordTable:
     def learn(self, words: set[str]) -> None:
         """Hold all of ``words``, in a new table where this one would grow too large. Words carry their leading
         space. Closing punctuation is looked up apart from its word."""
-        if len(self.words) + len(words - self.words.keys()) > MEMORY:
+        if len(self.words) + sum(w not in self.words for w in words) > MEMORY:
             self.words = {}
         split = {}
         fresh = set()
