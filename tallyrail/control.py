@@ -9,6 +9,18 @@ from .operators import routing, selection
 
 #: Exit codes: all applied, a market was rejected, a bounded queue was full and nothing was applied.
 APPLIED, REJECTED, FULL = 0, 3, 4
+#: Exit codes of the engine itself: stopped by request, start-up failed, bad settings, a shard stopped.
+STOPPED, STARTUP_FAILED, BAD_SETTINGS, SHARD_STOPPED = 0, 1, 2, 3
+
+
+def exit_code(error: BaseException | None = None, shards: DataFrame | None = None) -> int:
+    """The exit code of an engine that ended with ``error``, if any. ``shards`` has the last state of each (shard,
+    running), where it got as far as that."""
+    if error is not None and getattr(error, "code", None) != BAD_SETTINGS:
+        return STARTUP_FAILED if shards is None else SHARD_STOPPED
+    if error is not None:
+        return BAD_SETTINGS
+    return STOPPED if shards is None or shards.filter("NOT running").isEmpty() else SHARD_STOPPED
 
 
 class Engine:
@@ -36,4 +48,4 @@ class Engine:
         """One row per market: subscription, pinned, leases and the latest published state."""
         latest = books.groupBy("market").agg(F.max(F.struct("revision", "authority", "continuity_epoch")).alias("b"))
         rows = routing.market_status(routing.reconciled(self.desired, current), pins, leases)
-        return rows.join(latest, "market", "left").select("market", "subscription", "pinned", "leases", F.col("b.revision").alias("revision"), F.col("b.authority").alias("authority"), F.col("b.continuity_epoch").alias("continuity_epoch"))
+        return rows.join(latest, "market", "left").select("market", "subscription", routing.lifecycle(F.col("subscription"), F.col("b.authority")).alias("status"), "pinned", "leases", F.col("b.revision").alias("revision"), F.col("b.authority").alias("authority"), F.col("b.continuity_epoch").alias("continuity_epoch"))

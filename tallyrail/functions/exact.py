@@ -55,6 +55,14 @@ def levels_sorted(levels: Column, bids: bool) -> Column:
     return F.reverse(ordered) if bids else ordered
 
 
+def last_listed(levels: Column) -> Column:
+    """One level a price, by rising price: of a price that is listed more than once the last entry."""
+    places = F.transform(levels, lambda x, i: F.struct(x["price"].alias("price"), i.alias("i"), x["qty"].alias("qty")))
+    ordered = F.array_sort(places)
+    beside = F.zip_with(ordered, F.slice(ordered, 2, 1 << 30), lambda x, after: F.struct(x.alias("x"), (~x["price"].eqNullSafe(after["price"])).alias("last")))
+    return F.transform(F.filter(beside, lambda e: e["last"]), lambda e: F.struct(e["x"]["price"].alias("price"), e["x"]["qty"].alias("qty")))
+
+
 def complement(levels: Column) -> Column:
     """The other outcome's side: 1 - price with the quantity carried, in the same order."""
     return F.transform(levels, lambda x: F.struct((F.lit(1).cast("int") - x["price"]).cast(PRICE).alias("price"), x["qty"].alias("qty")))

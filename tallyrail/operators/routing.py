@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,3 +38,14 @@ def reconciled(desired: DataFrame, current: DataFrame) -> DataFrame:
     a, b = desired.select("market").distinct().withColumn("want", F.lit(1)), current.select("market").distinct().withColumn("have", F.lit(1))
     state = F.when(F.col("have").isNull(), "subscribing").when(F.col("want").isNull(), "removing").otherwise("established")
     return a.join(b, "market", "full_outer").select("market", state.alias("subscription"))
+
+
+def lifecycle(subscription: Column, authority: Column) -> Column:
+    """The status of a market from its subscription and the authority of its latest state: removed, rejected where it
+    has no subscription, accepted before its first state, reconciling while it is subscribed, and live or stale."""
+    reason = F.regexp_extract(authority, r"^Stale\((.*)\)$", 1)
+    return (
+        F.when(subscription.isNull(), "rejected").when(subscription == "removing", "removed")
+        .when(authority.startswith("Stale"), F.concat(F.lit("stale("), F.lower(reason), F.lit(")")))
+        .when((subscription == "established") & (authority == "Live"), "live").when(authority.isNull() & (subscription == "desired"), "accepted").otherwise("reconciling")
+    )

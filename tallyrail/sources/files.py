@@ -66,9 +66,16 @@ def stream_tape(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     return spark.readStream.schema(TAPE).option("maxFilesPerTrigger", files).json(path)
 
 
+def parsed_messages(lines: DataFrame, line: str = "line") -> DataFrame:
+    """The fields of one JSON object a line, for batch and stream alike, in place of the column ``line``; a malformed
+    line has its text in ``malformed`` and nulls else."""
+    parsed = F.from_json(F.col(line), MESSAGE + ", malformed string", {"columnNameOfCorruptRecord": "malformed"})
+    return lines.withColumn("message_", parsed).select(*[c for c in lines.columns if c != line], "message_.*")
+
+
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    """Captured messages, one JSON object a line; a malformed line has its text in ``malformed`` and nulls else."""
-    return spark.read.schema(MESSAGE + ", malformed string").option("columnNameOfCorruptRecord", "malformed").json(path)
+    """Captured messages, one JSON object a line."""
+    return parsed_messages(spark.read.text(path), "value")
 
 
 def decoded_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:

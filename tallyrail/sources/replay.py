@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import json
 
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from .files import TAPE
@@ -13,14 +15,16 @@ class ReplayReader(SimpleDataSourceStreamReader):
     """Each trigger reads the next ``rows`` lines of the file from the offset where the last one stopped."""
 
     def __init__(self, options: dict):
-        self.path, self.rows = options["path"], int(options.get("rows", 1000))
+        self.rows = int(options.get("rows", 1000))
+        path = options["path"]
+        self.store, self.path = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
     def initialOffset(self) -> dict:
         return {"byte": 0}
 
     def lines(self, start: int, end: int | None):
         names = [field.split(" ")[0] for field in TAPE.split(", ")]
-        with open(self.path, "rb") as file:
+        with io.BufferedReader(self.store.open_input_file(self.path)) as file:
             file.seek(start)
             n = 0
             while (end is None and n < self.rows) or (end is not None and file.tell() < end):
@@ -43,7 +47,8 @@ class ReplayReader(SimpleDataSourceStreamReader):
 
 
 class ReplaySource(DataSource):
-    """``spark.dataSource.register(ReplaySource)``; options path (a JSON-lines file all nodes see) and rows."""
+    """``spark.dataSource.register(ReplaySource)``; options path (a JSON-lines file, of any store that pyarrow
+    reads) and rows."""
 
     @classmethod
     def name(cls) -> str:

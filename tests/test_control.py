@@ -1,6 +1,7 @@
 import pytest
 
 from tallyrail import control
+from tallyrail.sources.files import SettingsError
 from tallyrail.sources.consumer import Consumer, ContinuityLost
 
 
@@ -18,7 +19,15 @@ def test_engine(spark):
     books = spark.createDataFrame([("b", 1, "Live", 0), ("b", 2, "Stale(Disconnect)", 0)], "market string, revision long, authority string, continuity_epoch long")
     leases = spark.createDataFrame([("b", "s1"), ("b", "s1"), ("b", "s2")], "market string, session string")
     got = {r.market: r for r in engine.status(markets(spark, "a"), markets(spark, "b"), leases, books).collect()}
-    assert tuple(got["b"])[1:] == ("subscribing", True, 2, 2, "Stale(Disconnect)", 0) and got["a"].subscription == "removing"
+    assert tuple(got["b"])[1:] == ("subscribing", "stale(disconnect)", True, 2, 2, "Stale(Disconnect)", 0) and got["a"].subscription == "removing"
+
+
+def test_exit_codes(spark):
+    shards = spark.createDataFrame([(0, True), (1, False)], "shard int, running boolean")
+    assert control.exit_code() == control.exit_code(shards=shards.filter("running")) == control.STOPPED
+    assert control.exit_code(OSError("socket in use")) == control.STARTUP_FAILED
+    assert control.exit_code(SettingsError("x")) == control.BAD_SETTINGS
+    assert control.exit_code(shards=shards) == control.exit_code(OSError("gone"), shards) == control.SHARD_STOPPED
 
 
 def test_consumer(spark, tmp_path):

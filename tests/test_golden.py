@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyrail.functions import exact
 from tallyrail.operators import books, health, latency, selection, tape
 
+# Totals, levels and lines of the documented sample output.
 TAPE = [
     ("limitless", "marketCreated", 2, 2, 358), ("limitless", "marketResolved", 5, 5, 875), ("limitless", "orderbookUpdate", 4, 4, 1874), ("limitless", "system", 3, 3, 492),
     ("polymarket", "best_bid_ask", 2748, 2748, 787406), ("polymarket", "book", 2, 400, 298455), ("polymarket", "new_market", 104, 104, 264580), ("polymarket", "price_change", 6391, 6391, 3919139),
@@ -114,3 +115,81 @@ def test_bounded_tape_drops_new_lines(spark):
     burst = spark.createDataFrame([("s", k, 0, 1) for k in range(10)] + [("s", 10, 50_000_000, 1)], "stream string, seq long, t_ns long, events long")
     got = tape.bounded_tape(burst, capacity=6).orderBy("seq").collect()
     assert [r.dropped for r in got] == [False] * 6 + [True] * 4 + [False]
+
+
+def queue_brute(rows, capacity, per_tick, tick):
+    """(seq, queued, dropped): a queue that takes a line while there is room, emptied at each tick after the first line."""
+    out = []
+    for stream in {r[0] for r in rows}:
+        mine = sorted((r[2], r[1]) for r in rows if r[0] == stream)
+        x, slot, first = 0, 0, mine[0][0]
+        for at, seq in mine:
+            now = (at - first) // tick
+            x, slot = max(0, x - (now - slot) * per_tick), now
+            full = x >= capacity
+            x += not full
+            out.append((seq, x, full))
+    return sorted(out)
+
+
+def test_bounded_tape_against_a_queue(spark):
+    import random
+
+    rnd = random.Random(8)
+    assert [r[2] for r in queue_brute([("s", k, 0) for k in range(10)] + [("s", 10, 2), ("s", 11, 3)], 6, 1, 1)] == [False] * 6 + [True] * 4 + [False] * 2
+    rows, at = [], 0
+    for k in range(3000):
+        at += rnd.choice([0, 0, 0, 1, 1, 2, 9, 400 if rnd.random() < 0.02 else 1])
+        rows.append((f"s{rnd.randint(0, 2)}", k, at))
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "stream string, seq long, t_ns long, queued_ string")
+    for capacity, per_tick, tick, block in ((6, 1, 1, 7), (3, 2, 5, 3), (50, 1, 2, 60_000)):
+        got = tape.bounded_tape(frame, capacity, per_tick, tick, block)
+        assert sorted((r.seq, r.queued, r.dropped) for r in got.collect()) == queue_brute(rows, capacity, per_tick, tick)
+        assert got.columns == [*frame.columns, "queued", "dropped"]
+    assert tape.bounded_tape(frame.limit(0)).count() == 0
+
+
+def test_a_price_listed_twice(spark):
+    rows = [("m", 1, "snapshot", [(D("0.1"), D(1)), (D("0.2"), D(5)), (D("0.10"), D(2))], None), ("m", 2, "snapshot", [(D("0.2"), D(5)), (D("0.1"), D(2))], []), ("m", 3, "resolved", None, None)]
+    states = books.revised(spark.createDataFrame(rows, INPUT))
+    first = states.orderBy("seq").first()
+    assert [(x.price, x.qty) for x in first.bids] == [(D("0.2"), D(5)), (D("0.1"), D(2))]
+    assert books.mutations(states).count() == 0 and states.count() == 2
+
+
+def test_resolutions_keep_book_and_revision(spark):
+    rows = [("m", 0, "start", None, None), ("m", 1, "snapshot", BIDS, ASKS), ("m", 2, "snapshot", BIDS[:1], ASKS), ("m", 3, "resolved", None, None), ("m", 4, "disconnect", None, None), ("m", 5, "resolved", None, None)]
+    states = books.revised(spark.createDataFrame(rows, INPUT), resolutions=True)
+    outcomes = spark.createDataFrame([("m", 3, "YES", 0, "final", "2026-01-01", "a/b")], "market string, seq long, outcome string, index long, type string, date string, path string")
+    got = [r.line for r in books.resolution_lines(states, books.mutations(states), outcomes).orderBy("seq").collect()]
+    assert got == [
+        "resolution revision=2 cursor=0:1 origin=venue outcome=YES index=0 type=final date=2026-01-01 path=a/b",
+        "resolution revision=3 cursor=1:0 origin=venue outcome=none index=none type=none date=none path=none",
+    ]
+    assert [r.authority for r in states.orderBy("seq").collect()] == ["Synchronizing", "Live", "Live", "Live", "Stale(Disconnect)", "Stale(Disconnect)"]
+
+
+def test_attempts_of_the_rolling_day(spark):
+    import random
+
+    rnd = random.Random(2)
+    ats = [rnd.randint(0, 400_000) for _ in range(400)] + [86_400, 86_400, 172_800, 0, 86_399, 86_401, 172_801]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(ats)], "k long, at long")
+    got = {r.k: (r.attempts, r.exhausted) for r in health.attempts(rows, "at", most=100).collect()}
+    want = {k: sum(t - 86_400 <= x <= t for x in ats) for k, t in enumerate(ats)}
+    assert got == {k: (n, n > 100) for k, n in want.items()}
+
+
+def test_received_and_decoded(spark):
+    rows = [("a", ["x", "y"]), ("a", []), ("a", None), ("b", ["z"] * 201)]
+    got = {tuple(r) for r in health.traffic(spark.createDataFrame(rows, "connection string, events array<string>")).collect()}
+    assert got == {("a", 3, 2), ("b", 1, 201)}
+
+
+def test_printed_table(spark):
+    from tallyrail.sinks.render import table_lines
+
+    rows = [(v, f, n, e, b) for v, f, n, e, b in TAPE] + [(None, None, 9259, 9657, 5273179)]
+    got = [r.line for r in table_lines(spark.createDataFrame(rows, "venue string, family string, lines long, events long, bytes long"), "tape at end of input").orderBy("position").collect()]
+    assert got[:2] == ["tape at end of input: lines=9259 events=9657 bytes=5273179", "  limitless  marketCreated        lines=2       events=2        bytes=358"]
+    assert got[-1] == "  polymarket price_change         lines=6391    events=6391     bytes=3919139"

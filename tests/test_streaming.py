@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 
@@ -6,7 +7,10 @@ from tallyrail.functions.exact import PRICE, QUANTITY
 from tallyrail.operators import books as batch
 from tallyrail.sources import files
 from tallyrail.sources.replay import ReplaySource
-from tallyrail.streaming import books, tape
+from tallyrail.operators import health as batch_health
+from tallyrail.streaming import books, health, publish, tape
+
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 LINES = [{"t_ns": k * 2_500_000_000, "venue": "v", "stream": "v-0", "family": "ab"[k % 2], "market": "m", "events": 1, "bytes": k, "handoff_ns": 1, "generation": 1, "text": "x"} for k in range(40)]
 
@@ -19,8 +23,11 @@ def run(df, name, mode="append"):
 
 
 def write(folder, rows, parts):
+    """Files whose times tell their order, by which a file stream reads them."""
     for k in range(parts):
-        (folder / f"{k:03d}.json").write_text("".join(json.dumps(r) + "\n" for r in rows[k * len(rows) // parts : (k + 1) * len(rows) // parts]))
+        path = folder / f"{k:03d}.json"
+        path.write_text("".join(json.dumps(r) + "\n" for r in rows[k * len(rows) // parts : (k + 1) * len(rows) // parts]))
+        os.utime(path, (1_700_000_000 + 5 * k,) * 2)
 
 
 def test_tape_windows_match_the_batch_table(spark, tmp_path):
@@ -41,7 +48,7 @@ def test_replay_source(spark, tmp_path):
 
 def test_book_stream_matches_the_batch_engine(spark, tmp_path):
     pytest.importorskip("pandas")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set(*ROCKS)
     levels = lambda k, base: [{"price": f"0.{base + k % 3}", "qty": str(k % 4 + 1)}, {"price": f"0.{base + 3}", "qty": "7"}]
     rows = []
     for m in ("x", "y"):
@@ -51,6 +58,7 @@ def test_book_stream_matches_the_batch_engine(spark, tmp_path):
     rows.sort(key=lambda r: r["seq"])
     rows.append({"market": "x", "seq": 30, "generation": 1, "kind": "snapshot", "bids": [], "asks": []})
     write(tmp_path, rows, 5)
+    outside = tmp_path.parent / f"{tmp_path.name}-out"
     schema = "market string, seq long, generation long, kind string, bids array<struct<price:string,qty:string>>, asks array<struct<price:string,qty:string>>"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path))
     got = run(books.book_stream(stream), "book_states").collect()
@@ -63,3 +71,34 @@ def test_book_stream_matches_the_batch_engine(spark, tmp_path):
     assert {(r.market, r.seq, r.revision, r.authority, r.continuity_epoch) for r in got if r.what == "state"} == want
     moves = {(r.market, r.seq, r.side, float(r.price), r.old_qty and int(r.old_qty), r.new_qty and int(r.new_qty), r.position) for r in batch.mutations(states).collect()}
     assert {(r.market, r.seq, r.side, float(r.price), r.old_qty and int(r.old_qty), r.new_qty and int(r.new_qty), r.position) for r in got if r.what == "mutation"} == moves
+
+
+    q = publish.publishing(books.book_stream(stream), f"{outside}/segment", 2).option("checkpointLocation", f"{outside}/offsets").start()
+    q.processAllAvailable()
+    q.stop()
+    published = spark.read.parquet(f"{outside}/segment/states").collect()
+    assert {(r.market, r.seq, r.revision, r.authority, r.continuity_epoch) for r in published} == want and len(published) == len(want)
+    assert spark.read.parquet(f"{outside}/segment/mutations").count() == len(moves)
+
+
+def test_summary_is_rewritten(spark, tmp_path):
+    write(tmp_path, LINES, 2)
+    q = publish.summarising(tape.since_start(files.stream_tape(spark, str(tmp_path))), f"{tmp_path.parent}/out.summary", 1).start()
+    q.processAllAvailable()
+    q.stop()
+    got = json.loads((tmp_path.parent / "out.summary").read_text())
+    assert [(r["family"], r["lines"]) for r in got["rows"]] == [("a", 20), ("b", 20)]
+
+
+def test_fence_and_readiness_match_the_batch_operators(spark, tmp_path):
+    spark.conf.set(*ROCKS)
+    rows = [{"connection": f"c{k % 2}", "seq": k, "generation": (k // 7) % 4, "run": f"r{k % 3}", "at": 2 * k, "ok": (k // 3) % 9 != 4} for k in range(90)]
+    write(tmp_path, rows, 5)
+    schema = "connection string, seq long, generation long, run string, at long, ok boolean"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path))
+    whole = spark.read.schema(schema).json(str(tmp_path))
+    want = {(r.seq, r.stale) for r in batch_health.fenced(whole, "connection", "seq", "generation").collect()}
+    assert {(r.seq, r.stale) for r in run(health.fence_stream(stream), "fence").collect()} == want and any(stale for _, stale in want)
+    for ready, timeout in ((30, 90), (30, None), (60, 70), (12, 90)):
+        want = {tuple(r) for r in batch_health.readiness(whole, "run", "at", "ok", ready, timeout).filter("opened IS NOT NULL").collect()}
+        assert {tuple(r) for r in run(health.readiness_stream(stream, ready, timeout), f"ready{ready}{timeout}").collect()} == want
