@@ -214,39 +214,45 @@ def selection_merge(spark, d):
 
 
 def sets(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("market"))
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("market"))
-    return c.filter("market % 2 = 0"), o.filter("market % 3 = 0"), c
+    """Desired: customers of the first segment in the alphabet and all who buy; asked: all who look; known: customers."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("market"), "c_mktsegment")
+    e = table(spark, d, "events").select(F.col("user_id").alias("market"), "event_type")
+    desired = c.filter("c_mktsegment = 'AUTOMOBILE'").select("market").union(e.filter("event_type = 'purchase'").select("market"))
+    return desired, e.filter("event_type = 'view'").select("market"), c.select("market")
 
 
-@query("""SELECT c_custkey AS market FROM customer WHERE c_custkey % 2 = 0 UNION SELECT o_custkey FROM orders WHERE o_custkey % 3 = 0""")
+DESIRED = "SELECT c_custkey AS market FROM customer WHERE c_mktsegment = 'AUTOMOBILE' UNION SELECT user_id FROM events WHERE event_type = 'purchase'"
+ASKED = "SELECT user_id AS market FROM events WHERE event_type = 'view'"
+
+
+@query(f"{DESIRED} UNION {ASKED}")
 def set_add(spark, d):
     desired, asked, _ = sets(spark, d)
     return selection.added(desired, asked)
 
 
-@query("""SELECT c_custkey AS market FROM customer WHERE c_custkey % 2 = 0 EXCEPT SELECT o_custkey FROM orders WHERE o_custkey % 3 = 0""")
+@query(f"({DESIRED}) EXCEPT ({ASKED})")
 def set_remove(spark, d):
     desired, asked, _ = sets(spark, d)
     return selection.removed(desired, asked)
 
 
-@query("""SELECT DISTINCT o_custkey AS market, CASE WHEN o_custkey % 2 = 0 AND o_custkey IN (SELECT c_custkey FROM customer) THEN 'removed' ELSE 'rejected' END AS status,
-  CASE WHEN o_custkey % 2 = 0 AND o_custkey IN (SELECT c_custkey FROM customer) THEN NULL ELSE 'not desired' END AS reason FROM orders WHERE o_custkey % 3 = 0""")
+@query(f"""WITH d AS ({DESIRED}) SELECT DISTINCT market, CASE WHEN market IN (SELECT market FROM d) THEN 'removed' ELSE 'rejected' END AS status,
+  CASE WHEN market IN (SELECT market FROM d) THEN NULL ELSE 'not desired' END AS reason FROM ({ASKED})""")
 def set_answers(spark, d):
     desired, asked, known = sets(spark, d)
     return selection.answers(desired, asked, known, add=False)
 
 
-@query(f"WITH {FEED} SELECT seq, market, c_name FROM feed JOIN customer ON market = c_custkey WHERE market % 4 <> 0")
+@query(f"WITH {FEED} SELECT seq, market, c_name FROM feed JOIN customer ON market = c_custkey")
 def route_events(spark, d):
-    targets = table(spark, d, "customer").select(F.col("c_custkey").alias("market"), "c_name").filter("market % 4 <> 0")
+    targets = table(spark, d, "customer").select(F.col("c_custkey").alias("market"), "c_name")
     return routing.routed(feed(spark, d), targets, ["market"]).select("seq", "market", "c_name")
 
 
-@query(f"WITH {FEED} SELECT family, count(*) AS unrouted FROM feed WHERE market NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 0) GROUP BY family")
+@query(f"WITH {FEED} SELECT family, count(*) AS unrouted FROM feed WHERE market NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY family")
 def unrouted_events(spark, d):
-    targets = table(spark, d, "customer").select(F.col("c_custkey").alias("market")).filter("market % 4 <> 0")
+    targets = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("market"))
     return routing.unrouted(feed(spark, d), targets, ["market"]).groupBy("family").agg(F.count(F.lit(1)).alias("unrouted"))
 
 
@@ -278,9 +284,8 @@ def reconcile_sets(spark, d):
     return routing.reconciled(e.filter("event_type = 'view'"), e.filter("value > 200"))
 
 
-@query("""SELECT user_id AS connection, coalesce(count(*) FILTER (event_type IN ('error', 'signup')), 0)::BIGINT AS faults,
-  '{' || string_agg('"' || event_type || '":' || n, ',' ORDER BY event_type) || '}' AS counters FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)
-GROUP BY user_id""".replace("coalesce(count(*) FILTER (event_type IN ('error', 'signup')), 0)", "sum(n)"))
+@query("""SELECT user_id AS connection, sum(n)::BIGINT AS faults, '{' || string_agg('"' || event_type || '":' || n, ',' ORDER BY event_type) || '}' AS counters
+FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id""")
 def fault_counters(spark, d):
     e = table(spark, d, "events").withColumnRenamed("user_id", "connection")
     rows = health.counter_map(e, "connection", "event_type")
@@ -296,9 +301,11 @@ def feed_activity(spark, d):
   count(*) FILTER (event_type = 'click') AS acked, 3 AS required FROM events GROUP BY 1)
 SELECT count(*) FILTER (up AND subscribed AND heartbeat AND acked >= required) AS healthy, count(*) AS connections FROM c""")
 def healthy_connections(spark, d):
-    kind = lambda x: F.count_if(F.col("event_type") == x)
-    c = table(spark, d, "events").groupBy("user_id").agg((kind("signup") > 0).alias("up"), (kind("view") > 0).alias("subscribed"), (F.max("value") > 100).alias("heartbeat"), kind("click").alias("acked"), F.lit(3).alias("required"))
-    return health.healthy(c, serve=False)
+    e = table(spark, d, "events").withColumnRenamed("user_id", "connection")
+    kind = lambda x: F.count_if(F.col("event_type") == x) > 0
+    c = e.groupBy("connection").agg(kind("signup").alias("up"), kind("view").alias("subscribed"), F.lit(True).alias("acknowledges"), F.lit(3).alias("required"))
+    acks = e.filter("event_type = 'click'").select("connection", F.col("event_id").alias("market"))
+    return health.healthy(health.with_evidence(c, e.filter("value > 100"), acks), serve=False)
 
 
 @query(f"""WITH {FEED}, f AS (SELECT *, generation < max(generation) OVER (PARTITION BY market ORDER BY seq ROWS UNBOUNDED PRECEDING) AS stale FROM feed)
@@ -330,7 +337,7 @@ def readiness(spark, d):
 @query(f"""WITH {FEED}, t AS (SELECT ((max(t_ns) - min(t_ns)) // 1000000000)::BIGINT AS seconds, count(*) FILTER (venue = 'first') AS a, count(*) FILTER (venue = 'second') AS b FROM feed)
 SELECT seconds, least(a, b) AS least_events, seconds >= 900 AND a >= 100 AND b >= 100 AS qualified FROM t""")
 def qualification(spark, d):
-    seconds = F.floor((F.max("t_ns") - F.min("t_ns")) / 1_000_000_000).cast("long")
+    seconds = F.expr("(max(t_ns) - min(t_ns)) div 1000000000")
     return health.qualified(feed(spark, d), seconds, ["first", "second"], 900, 100)
 
 
@@ -348,20 +355,12 @@ def run_outcome(spark, d):
     return health.outcome(runs).select("run", "reason", "exit_code")
 
 
-@query("""SELECT event_id, count(*) OVER (ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS attempts
-FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events)""")
+@query("""SELECT event_id, count(*) OVER w AS attempts, count(*) OVER w > 280 AS exhausted
+FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events)
+WINDOW w AS (ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)""")
 def attempt_budget(spark, d):
     rows = table(spark, d, "events").select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
-    return health.attempts(rows, "at").select("event_id", "attempts")
-
-
-@query(f"""WITH {FEED} SELECT market, count(*) FILTER (try_cast(json_extract_string(props, '$.k') AS BIGINT) < 50) AS valid,
-  count(*) FILTER (try_cast(json_extract_string(props, '$.k') AS BIGINT) >= 50) AS malformed FROM feed GROUP BY market""")
-def malformed_payloads(spark, d):
-    """A payload is malformed here if its k is 50 or more; those rows are counted and left out of the decoded ones."""
-    k = F.from_json("props", "k bigint")["k"]
-    rows = feed(spark, d).select("market", (k.isNotNull() & (k < 50)).alias("ok"))
-    return rows.groupBy("market").agg(F.count_if("ok").alias("valid"), F.count_if(~F.col("ok")).alias("malformed"))
+    return health.attempts(rows, "at").select("event_id", "attempts", "exhausted")
 
 
 def book_inputs(spark, d):
@@ -384,8 +383,7 @@ BOOKS = """books AS (SELECT user_id AS market, event_id AS seq, event_type = 'si
 @query(f"""WITH {BOOKS} SELECT market, revision, authority, continuity_epoch, coalesce('0.' || (i % 2 + 5) || '@7', '-') AS best_bid,
   coalesce('0.' || (i % 2 + 8) || '@' || (i % 5 + 1), '-') AS best_ask FROM books""")
 def book_revisions(spark, d):
-    rows = books.revised(book_inputs(spark, d))
-    return rows.select("market", "revision", "continuity_epoch").join(books.bbo(rows), ["market", "revision"])
+    return books.bbo(books.revised(book_inputs(spark, d)), "continuity_epoch")
 
 
 LEVELS = f"""{BOOKS}, live AS (SELECT market, seq, revision, continuity_epoch FROM books WHERE NOT loss),
@@ -412,11 +410,13 @@ def book_summary(spark, d):
 
 
 @query(f"""WITH {LEVELS}, head AS (SELECT market, continuity_epoch, count(*) AS head FROM diff GROUP BY ALL)
-SELECT market, continuity_epoch, head, CASE WHEN 3 < head - 16 THEN 'Overrun' END AS reason FROM head""")
+SELECT c_custkey AS market, c_nationkey::BIGINT AS position, head, CASE WHEN c_nationkey < head - 16 THEN 'Overrun' END AS reason
+FROM customer LEFT JOIN (SELECT * FROM head WHERE continuity_epoch = 0) ON market = c_custkey""")
 def reader_overrun(spark, d):
-    changes = books.mutations(books.revised(book_inputs(spark, d)))
-    readers = changes.select("market", "continuity_epoch", F.lit(3).cast("long").alias("position")).distinct()
-    return books.overrun(changes, readers, 16).select("market", "continuity_epoch", "head", "reason")
+    """A reader for each customer, in the first epoch, at the position of its nation's number."""
+    heads = books.heads(books.mutations(books.revised(book_inputs(spark, d))))
+    readers = table(spark, d, "customer").select(F.col("c_custkey").alias("market"), F.lit(0).cast("long").alias("continuity_epoch"), F.col("c_nationkey").cast("long").alias("position"))
+    return books.overrun(heads, readers, 16).select("market", "position", "head", "reason")
 
 
 @query(f"""WITH {BOOKS}, b AS (SELECT market, revision, authority, continuity_epoch AS e, i, i % 3 + 1 AS p1, i % 2 + 5 AS q1, i % 2 + 5 AS p2, i % 2 + 8 AS pa, i % 5 + 1 AS qa FROM books)
@@ -427,15 +427,24 @@ def book_lines(spark, d):
     return books.book_lines(books.revised(book_inputs(spark, d)))
 
 
-@query(f"""WITH {FEED} SELECT 'feed_shard_frames_seen{{shard="' || (market % 3) || '"}} ' || count(*) AS line FROM feed GROUP BY market % 3
-UNION ALL SELECT 'feed_markets ' || count(DISTINCT market) FROM feed""")
+@query(f"""WITH {FEED}, s AS (SELECT market % 3 AS shard, count(*) AS frames_seen, count(DISTINCT market) AS markets, count(*) FILTER (family = 'signup') AS losses,
+  max(CASE WHEN family = 'error' THEN 0 ELSE 1 END) AS connected FROM feed GROUP BY 1),
+h AS (SELECT user_id % 3 AS shard, {UB.replace("us", "value")} AS ub, count(*) AS n FROM events GROUP BY ALL),
+c AS (SELECT shard, ub, sum(n) OVER (PARTITION BY shard ORDER BY ub) AS cum, sum(n) OVER (PARTITION BY shard) AS total FROM h),
+q AS (SELECT shard, min(ub) FILTER (cum * 1000 >= total * 990) AS p99 FROM c GROUP BY shard)
+SELECT name || '{{shard="' || shard || '"}} ' || value AS line FROM (SELECT shard, unnest(['feed_shard_connected', 'feed_shard_frames_seen', 'feed_shard_continuity_losses', 'feed_shard_queue_age_p99_micros', 'feed_shard_markets']) AS name,
+  unnest([connected, frames_seen, losses, p99, markets]) AS value FROM s JOIN q USING (shard))
+UNION ALL SELECT 'feed_markets ' || sum(markets)::BIGINT FROM s""")
 def metrics_text(spark, d):
     from ..sinks.render import metric_lines
 
-    f = feed(spark, d)
-    shards = f.groupBy((F.col("market") % 3).alias("shard")).agg(F.count(F.lit(1)).alias("value")).select(F.lit("feed_shard_frames_seen").alias("name"), "shard", "value")
-    total = f.agg(F.countDistinct("market").alias("value")).select(F.lit("feed_markets").alias("name"), F.lit(None).cast("long").alias("shard"), "value")
-    return metric_lines(shards.unionByName(total))
+    rows = feed(spark, d).withColumn("shard", F.col("market") % 3)
+    shards = rows.groupBy("shard").agg(
+        F.count(F.lit(1)).alias("frames_seen"), F.countDistinct("market").alias("markets"), F.count_if(F.col("family") == "signup").alias("continuity_losses"),
+        F.max(F.when(F.col("family") == "error", 0).otherwise(1)).alias("connected"),
+    )
+    bounds = latency.quantiles(latency.histogram(rows, "shard", "value"), "shard", {"p99": 990}).select("shard", F.col("p99").alias("queue_age_p99_micros"))
+    return metric_lines(health.gauges(shards.join(bounds, "shard")))
 
 
 @query(f"""WITH {FEED} SELECT seq, '{{"t_ns":' || t_ns || ',"venue":"' || venue || '","stream":"' || stream || '","family":"' || family || '","market":"' || market || '","events":1,"bytes":' || bytes ||
