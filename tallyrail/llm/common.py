@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,19 +16,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared checkpoint folder; a temporary one only where the session names none (tests).
+    """Cut lineage in the shared checkpoint folder, spark.checkpoint.dir; where the session names none, in one below
+    the warehouse, which all nodes share as well.
 
     What the cut lineage alone held is garbage then. The driver is asked to collect it, since Spark deletes shuffle
     files from the executors' disks only when the driver's objects for them are collected.
+
+    What was known of the rows' partitioning, order and size is dropped with the lineage. It would grow with each round
+    of an iteration, until planning takes longer than the work, and it would spare a join one of its exchanges. A
+    counted or reduced table is written before it is joined by a key that may be hot: then both sides of the join come
+    straight from exchanges, and adaptive execution can deal the rows of a large partition to several tasks.
     """
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", "") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyrail-checkpoint-"))
-    kept = df.checkpoint()
+    session = df.sparkSession
+    context = session.sparkContext
+    if not session.conf.get("spark.checkpoint.dir", "") and context.getCheckpointDir() is None:
+        context.setCheckpointDir(f"{session.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
+    kept = df.checkpoint()._jdf
+    plain = DataFrame(session._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), session)
     del df
     gc.collect()
     context._jvm.System.gc()
-    return kept
+    return plain
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:

@@ -13,7 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds: each round hangs neighbours under the least one, so the number of
     rounds grows with the logarithm of the longest path. No round gathers the neighbours of a node: the least one
-    comes from an aggregation that combines before its shuffle. Each round is written to the checkpoint folder.
+    comes from an aggregation that combines before its shuffle, and is written before it is joined, so that the edges
+    of a node with many can be dealt to several tasks. Each round is written to the checkpoint folder.
     """
     edges = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
@@ -23,9 +24,10 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = state
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = checkpointed(large)
+        small = checkpointed(large.groupBy("a").agg(F.min("b").alias("m")))
         hung = large.join(small, "a").select(F.col("b").alias("x"), F.col("m").alias("y"))
         edges = checkpointed(
             small.select("a", F.col("m").alias("b")).union(hung.filter("x <> y").select(F.greatest("x", "y"), F.least("x", "y"))).distinct()

@@ -2,8 +2,10 @@
 
 1. Each document gets the minima of ``BANDS * ROWS`` hash functions over its distinct word shingles. Each group of
    ``ROWS`` whole minima gives a band key; of every minimum only ``BITS`` low bits are kept, packed in words.
-2. Documents with equal sets form a class, with its smallest doc_id; a set goes on once, by its hash.
-3. Sets that share a band key are candidates. Bit counts of the packed signatures give the share of equal entries,
+2. Documents with equal sets form a class, with its smallest doc_id; only that document's signature goes on, so a
+   group of copies is one member of its buckets.
+3. Sets that share a band key are candidates. Buckets are counted and named before their members are joined to them,
+   so no task gathers a bucket to find its name. Bit counts of the packed signatures give the share of equal entries,
    and that, corrected for chance agreement, an estimate of the similarity. Candidates below ``FLOOR`` are left.
 4. Families, the connected parts of what remains, hold every link: a pair at the threshold misses all bands with a
    chance of 1e-8 and falls below the floor with one of 1e-9. Inside a family, links are confirmed on whole sets.
@@ -32,7 +34,8 @@ WORDS, PERCENT = 5, 75
 BANDS, ROWS, BITS = 48, 4, 4
 #: Least estimated similarity of candidates that are compared in full: six standard deviations below the threshold.
 FLOOR = 0.55
-#: Members of a bucket that a task compares with one another; larger buckets go on as one family, unfiltered.
+#: Members of a bucket that a task compares with one another; larger buckets go on as one family, unfiltered. Links
+#: are confirmed on whole sets either way, so this bounds a task's memory and decides no result.
 BUCKET_LIMIT = 50_000
 #: Members of a family that one task compares.
 BLOCK = 512
@@ -165,41 +168,25 @@ def grown(similar, first: np.ndarray, rest: np.ndarray) -> Iterator[tuple[int, i
         rest = rest[~mask]
 
 
-def shared_buckets(prints: DataFrame) -> DataFrame:
-    """bucket, s1 and n: the members of each bucket of two sets or more, once for all bands that have the same members.
+def shared_buckets(signed: DataFrame) -> DataFrame:
+    """bucket, s1, n and least: the members of each bucket of two sets or more, once for all bands that have the same
+    members, with their number and the least of them.
 
-    Rows of a band and set meet sorted; a task holds the set hashes of one bucket, and a bucket's name is a hash of
-    its members, so that near copies, which share most bands, go on as one bucket.
+    A bucket's name is a hash of its members, so that near copies, which share most bands, go on as one bucket.
     """
+    bands = signed.select("s1", F.explode("bands").alias("band"))
+    of_all = [F.bit_xor(F.xxhash64("s1", F.lit(k))) for k in (1, 2)]
+    named = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("s1").alias("least"), F.xxhash64(*of_all, F.count(F.lit(1))).alias("bucket"))
+    named = checkpointed(named.filter("n > 1"))
+    return bands.join(named, "band").select("bucket", "s1", "n", "least").distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for table in by_group(batches, "band", 100_000):
-            band, s1 = table.column("band").to_numpy(), table.column("s1").to_numpy()
-            fresh = np.r_[True, (band[1:] != band[:-1]) | (s1[1:] != s1[:-1])]  # equal texts are one member
-            band, s1 = band[fresh], s1[fresh]
-            begins = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
-            n = np.diff(np.r_[begins, len(band)])
-            name = mix64(np.add.reduceat(mix64(s1.view(np.uint64)), begins) + n.astype(np.uint64)).view(np.int64)
-            keep = n > 1
-            keep[keep] = [not (x in seen or seen.add(x)) for x in name[keep].tolist()]
-            if len(seen) > 500_000:  # later repeats fall to the distinct that follows
-                seen.clear()
-            rows = np.repeat(keep, n)
-            yield pa.record_batch([pa.array(np.repeat(name, n)[rows]), pa.array(s1[rows]), pa.array(np.repeat(n, n)[rows])], names=["bucket", "s1", "n"])
-
-    bands = prints.select("s1", F.explode("bands").alias("band")).select("band", "s1")
-    found = bands.repartition("band").sortWithinPartitions("band", "s1").mapInArrow(run, "bucket long, s1 long, n long")
-    return found.distinct()
-
-
-def candidate_edges(prints: DataFrame) -> DataFrame:
-    """Edges a - b, between set hashes s1, that connect the estimated-similar sets of each bucket."""
-    buckets = checkpointed(shared_buckets(prints))
-    signatures_ = prints.groupBy("s1").agg(F.first("signature").alias("signature"))
-    members = buckets.filter(F.col("n") <= BUCKET_LIMIT).join(signatures_, "s1").select("bucket", "s1", "signature")
-    crowded = buckets.filter(F.col("n") > BUCKET_LIMIT)
-    stars = crowded.join(crowded.groupBy("bucket").agg(F.min("s1").alias("b")), "bucket").select(F.col("s1").alias("a"), "b")
+
+def candidate_edges(signed: DataFrame) -> DataFrame:
+    """Edges a - b, between set hashes s1, that connect the estimated-similar sets of each bucket. ``signed`` has a row
+    for each set: s1, bands and signature."""
+    buckets = checkpointed(shared_buckets(signed))
+    members = buckets.filter(F.col("n") <= BUCKET_LIMIT).join(signed.select("s1", "signature"), "s1").select("bucket", "s1", "signature")
+    stars = buckets.filter((F.col("n") > BUCKET_LIMIT) & (F.col("s1") != F.col("least"))).select(F.col("s1").alias("a"), F.col("least").alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_group(batches, "bucket", 20_000):
@@ -293,11 +280,14 @@ def whole_families(members: DataFrame) -> DataFrame:
 
 
 def leader_links(members: DataFrame) -> DataFrame:
-    """Confirmed links of each member of large families with a few leaders."""
+    """Confirmed links of each member of large families with a few leaders, which go to every part of their family."""
     ranked = members.select("family", "cid", F.xxhash64("cid").alias("turn"))
     chosen = ranked.groupBy("family").agg(F.min(F.struct("turn", "cid")).alias("one"), F.max(F.struct("turn", "cid")).alias("two"), F.min("cid").alias("three"))
     chosen = chosen.select("family", F.explode(F.array_distinct(F.array("one.cid", "two.cid", "three"))).alias("cid"))
-    held = members.select("family", "cid", "members").join(chosen, ["family", "cid"]).groupBy("family").agg(F.collect_list(F.struct("cid", "members")).alias("leaders"))
+    parts = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    held = members.join(chosen, ["family", "cid"]).groupBy("family", "size").agg(F.collect_list(F.struct("cid", "members")).alias("leaders"))
+    held = held.select("family", "leaders", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    dealt = members.select("family", "cid", "members", F.pmod(F.xxhash64("cid", F.lit("part")), parts).cast("int").alias("part"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         a, b = [], []
@@ -310,7 +300,7 @@ def leader_links(members: DataFrame) -> DataFrame:
                     b.append(leader["cid"].as_py())
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return map_arrow(members.join(held, "family").select("cid", "members", "leaders"), run, "a long, b long")
+    return map_arrow(dealt.join(held, ["family", "part"]).select("cid", "members", "leaders"), run, "a long, b long")
 
 
 def block_links(members: DataFrame, links: DataFrame) -> DataFrame | None:
@@ -369,7 +359,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     twice = of_doc.groupBy("doc_id").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).filter("least < most")
     shared = of_doc.join(twice, "doc_id").select(F.col("cid").alias("a"), F.col("least").alias("b"))
 
-    families = components(checkpointed(candidate_edges(full)))
+    # one document of each class: the key holds doc_id, so a group of copies isn't joined in one place
+    first = classes.select(F.col("s1").alias("of_s1"), F.col("s2").alias("of_s2"), "cid")
+    signed = full.join(first, (full["s1"] == first["of_s1"]) & (full["s2"] == first["of_s2"]) & (full["doc_id"] == first["cid"]))
+    signed = checkpointed(signed.select("s1", "bands", "signature").dropDuplicates(["s1"]))
+    families = components(checkpointed(candidate_edges(signed)))
     sizes = families.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     members = families.join(sizes, "label").select(F.col("node").alias("s1"), F.col("label").alias("family"), "size")
     members = checkpointed(members.join(classes.select("s1", "cid"), "s1").select("cid", "s1", "family", "size"))
