@@ -95,7 +95,7 @@ def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def anchors(docs: DataFrame, size: int, gram: int, words: bool = False) -> DataFrame:
+def anchors(docs: DataFrame, size: int, gram: int, words: bool = False, part_: int = PART) -> DataFrame:
     """One row per window: anchor hash g, window hash h, u1, u2, and the positions of its anchor and its first and
     last start."""
     width = size - gram + 1
@@ -118,11 +118,11 @@ def anchors(docs: DataFrame, size: int, gram: int, words: bool = False) -> DataF
         return grams[a].view(np.int64), h.view(np.int64), row, a - begin, lo - begin, hi - begin
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in slices(batch, "text", PART):
+        for part in slices(batch, "text", part_):
             data, offsets = symbols_of(part.column("text"), words)
             jobs = [(data, offsets, 0)]
-            if len(part) == 1 and offsets[1] > PART + size:
-                jobs = [(data[s : s + PART + size - 1], np.array([0, len(data[s : s + PART + size - 1])]), s) for s in range(0, int(offsets[1]) - size + 1, PART)]
+            if len(part) == 1 and offsets[1] > part_ + size:
+                jobs = [(data[s : s + part_ + size - 1], np.array([0, len(data[s : s + part_ + size - 1])]), s) for s in range(0, int(offsets[1]) - size + 1, part_)]
             for buffer, cuts, shift in jobs:
                 g, h, row, a, lo, hi = of_buffer(buffer, cuts)
                 rows = pa.array(row, pa.int64())
@@ -143,14 +143,15 @@ def fetched(docs: DataFrame, wanted: DataFrame, size: int, words: bool = False)
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for text, windows in zip(batch.column("text"), batch.column("windows"), strict=True):
             data = symbols_of(pa.array([text]), True)[0].tobytes() if words else text.as_buffer().to_pybytes()
-            w = windows.as_py()
-            yield pa.record_batch(
-                [
-                    pa.array([x["g"] for x in w], pa.int64()), pa.array([x["h"] for x in w], pa.int64()), pa.array([x["a"] - x["lo"] for x in w], pa.int32()),
-                    pa.array([x["hi"] - x["lo"] + 1 for x in w], pa.int32()), pa.array([data[x["lo"] * unit : (x["hi"] + size) * unit] for x in w], pa.binary()),
-                ],
-                names=["g", "h", "before", "starts", "bytes"],
-            )
+            for k in range(0, len(windows), 4096):
+                w = windows.values.slice(k, 4096).to_pylist() if len(windows) > 4096 else windows.as_py()
+                yield pa.record_batch(
+                    [
+                        pa.array([x["g"] for x in w], pa.int64()), pa.array([x["h"] for x in w], pa.int64()), pa.array([x["a"] - x["lo"] for x in w], pa.int32()),
+                        pa.array([x["hi"] - x["lo"] + 1 for x in w], pa.int32()), pa.array([data[x["lo"] * unit : (x["hi"] + size) * unit] for x in w], pa.binary()),
+                    ],
+                    names=["g", "h", "before", "starts", "bytes"],
+                )
 
     joined = docs.select(*UID, "text").join(lists, UID).select("text", "windows")
     return map_arrow(joined, run, "g long, h long, before int, starts int, bytes binary")
@@ -262,21 +263,32 @@ def counted(windows: DataFrame, size: int, words: bool = False) -> DataFrame:
 
     rows = map_arrow(windows, strings, "g long, h long, start int, place int, string long")
     keys = ["g", "place", "string"]
-    twice = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*keys)
+    twice = checkpointed(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*keys))
     return rows.join(twice, keys).groupBy("g", "h").agg(F.collect_list(F.struct(F.col("start").alias("first"), F.col("start").alias("last"))).alias("spans"))
 
 
-def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, words: bool = False) -> DataFrame:
-    """u1, u2 and spans (array of first and last repeated start) of each document of ``identified`` that has any."""
-    found = anchors(docs, size, gram, words)
-    twice = found.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g")
+def gram_of(size: int, words: bool) -> int:
+    """The anchor's symbols for strings of ``size``: a shorter string has a shorter anchor."""
+    if size < 2:
+        raise ValueError("strings must have two symbols at least")
+    return min(WORD_GRAM, size // 2) if words else min(GRAM, max(1, size * 2 // 5))
+
+
+def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int | None = None, words: bool = False, part: int = PART) -> DataFrame:
+    """u1, u2 and spans (array of first and last repeated start) of each document of ``identified`` that has any.
+
+    Counts are written before they are joined, so that the windows of a very common anchor can be dealt to several
+    tasks. Equal windows agree in the 64-bit hash of their anchor and in another one of bytes and places.
+    """
+    gram = gram or gram_of(size, words)
+    found = anchors(docs, size, gram, words, part)
+    twice = checkpointed(found.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g"))
     windows = checkpointed(found.join(twice, "g"))
     kinds = windows.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("u1", "u2", "a", "lo", "hi")).alias("one"))
     kinds = checkpointed(kinds)
     whole = kinds.filter("n > 1").select("g", "h")
-    mixed = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    unlike = kinds.join(mixed, "g").select("g", "h", "kinds", "n", "one.*")
-    unlike = checkpointed(unlike)
+    mixed = checkpointed(kinds.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
+    unlike = checkpointed(kinds.join(mixed, "g").select("g", "h", "kinds", "n", "one.*"))
     laid = unlike.filter(F.col("kinds") <= GROUP_LIMIT)
     spans = checkpointed(constructed(fetched(docs, laid, size, words), laid.count(), size, gram, words))
     crowded = unlike.filter(F.col("kinds") > GROUP_LIMIT)
@@ -285,14 +297,14 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, words: b
     known = spans.join(whole, ["g", "h"], "left_anti").unionByName(
         whole.withColumn("spans", F.lit(None).cast(SPANS))
     )
-    each = windows.join(known, ["g", "h"]).select(
+    each = windows.join(checkpointed(known), ["g", "h"]).select(
         *UID,
         F.explode(
             F.when(F.col("spans").isNull(), F.array(F.struct(F.col("lo").alias("first"), F.col("hi").alias("last"))))
             .otherwise(F.transform("spans", lambda s: F.struct((F.col("lo") + s["first"]).alias("first"), (F.col("lo") + s["last"]).alias("last"))))
         ).alias("span"),
     )
-    return each.groupBy(*UID).agg(F.collect_set("span").alias("spans"))
+    return checkpointed(each.groupBy(*UID).agg(F.collect_set("span").alias("spans")))  # the windows aren't needed any more
 
 
 def covered(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -306,36 +318,38 @@ def covered(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def without_repeats(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text: str = "text", whole: bool = False, words: int = 0) -> DataFrame:
+def without_repeats(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text: str = "text", whole: bool = False, words: int = 0, part: int = PART) -> DataFrame:
     """Remove each byte that a string of ``size`` bytes covers that also starts elsewhere, same document included.
-    With ``words`` also each that a string of so many words covers that also starts elsewhere, from the first byte of
-    its first word to the last of its last.
 
-    A row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``whole`` the kept bytes as text too,
-    in which a character cut by a span is left out. Null and empty texts, and texts below ``size`` bytes, lose nothing
-    themselves. Strings are judged on the input: both copies of a repeated row go. An empty table gives no rows.
+    A row per input row: doc_id, n_bytes, n_removed, n_spans and kept_sha256. With ``whole`` also ``kept``: what is
+    left as text, in which a character cut by a span is left out. With ``words`` what ``kept`` has is also without each
+    string of so many words between white space that also starts elsewhere, from the first byte of its first word to
+    the last of its last; the counts and the digest are of the bytes' rule alone.
+
+    Null and empty texts, and texts below ``size`` bytes, lose nothing themselves. Strings are judged on the input:
+    both copies of a repeated row go. An empty table gives no rows. Other columns aren't read.
     """
     rows = identified(docs, key, text)
-    joined = rows.join(repeated_spans(rows, size), UID, "left")
+    joined = rows.join(repeated_spans(rows, size, part=part), UID, "left")
     if words:
-        gram = min(WORD_GRAM, words)
-        joined = joined.join(repeated_spans(rows, words, gram, True).withColumnRenamed("spans", "word_spans"), UID, "left")
+        joined = joined.join(repeated_spans(rows, words, words=True, part=part).withColumnRenamed("spans", "word_spans"), UID, "left")
     joined = joined.select("doc_id", "text", "spans", *["word_spans"] * bool(words))
 
+    def left(data: bytes, cuts: list[tuple[int, int]]) -> bytes:
+        edges = [0, *[x for c in cuts for x in c], len(data)]
+        return b"".join(data[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)) if cuts else data
+
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         found = []
         for row, (body, spans) in enumerate(zip(batch.column("text"), batch.column("spans"), strict=True)):
             data = body.as_buffer().to_pybytes()
             ranges = [(s["first"], s["last"] + size) for s in spans.as_py() or []]
+            cuts = covered(ranges)
+            kept = rest = left(data, cuts)
             if words and (of_words := batch.column("word_spans")[row].as_py()):
                 begin, end = word_bounds(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
-                ranges += [(int(begin[s["first"]]), int(end[s["last"] + words - 1])) for s in of_words]
-            cuts = covered(ranges)
-            kept = data
-            if cuts:
-                edges = [0, *[x for c in cuts for x in c], len(data)]
-                kept = b"".join(data[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True))
-            found.append((len(data), len(data) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if whole else None))
+                rest = left(data, covered(ranges + [(int(begin[s["first"]]), int(end[s["last"] + words - 1])) for s in of_words]))
+            found.append((len(data), len(data) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), rest.decode("utf-8", "ignore") if whole else None))
         columns = list(zip(*found, strict=True))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         out = [batch.column("doc_id")] + [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
@@ -345,5 +359,11 @@ def without_repeats(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text
     return map_arrow(joined, run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * whole)
 
 
+#: Words of the shortest passage that no two documents may share: over 50.
+PASSAGE_WORDS = 51
+
+
 def op8_column_wise_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_repeats(read_table(spark, sf_dir, "documents"))
+    """The digests of the rule of 400 bytes, and ``text``: what is left without those strings and without passages of
+    ``PASSAGE_WORDS`` words that occur again, of which many have less than 400 bytes."""
+    return without_repeats(read_table(spark, sf_dir, "documents"), whole=True, words=PASSAGE_WORDS).withColumnRenamed("kept", "text")

@@ -38,27 +38,36 @@ def corpus(seed, n=60):
 
 
 @pytest.mark.parametrize("limit", [4096, 1])
-def test_against_brute_force(spark, monkeypatch, limit):
+@pytest.mark.parametrize("size", [14, 37])
+def test_against_brute_force(spark, monkeypatch, limit, size):
     monkeypatch.setattr(repeats, "GROUP_LIMIT", limit)
-    for seed in (1, 2):
-        rows = corpus(seed)
-        monkeypatch.setattr(repeats, "GRAM", 5)
-        docs = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, spans string")
-        frame = repeats.identified(docs, "doc_id", "text")
-        spans = repeats.repeated_spans(frame, 14, 5)
-        spans.count()
-        monkeypatch.setattr(repeats, "repeated_spans", lambda d, size: spans)
-        assert order(repeats.without_repeats(docs, 14).collect()) == order(brute(rows, 14))
-        monkeypatch.undo()
-        monkeypatch.setattr(repeats, "GROUP_LIMIT", limit)
-
-
-def test_long_documents_are_hashed_in_parts(spark, monkeypatch):
+    rows = corpus(size)
+    docs = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, spans string")
+    assert order(repeats.without_repeats(docs, size).collect()) == order(brute(rows, size))
+
+
+def test_long_documents_are_hashed_in_parts(spark):
     rnd = random.Random(3)
-    text = "".join(rnd.choice("abc") for _ in range(900))
-    rows = [(0, text), (1, text[300:700] + "z" * 50), (2, text[:100])]
+    text = "".join(rnd.choice("abc") for _ in range(2900))
+    rows = [(0, text), (1, text[200:900] + "z" * 50), (2, text[:100]), (3, text[1000:1041]), (4, "y" + text[1500:1540])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert order(repeats.without_repeats(docs, 400).collect()) == order(brute(rows, 400))
+    for part in (256, 1000):
+        assert order(repeats.without_repeats(docs, 40, part=part).collect()) == order(brute(rows, 40))
+
+
+def test_sizes(spark):
+    assert repeats.gram_of(400, False) == 160 and repeats.gram_of(51, True) == 24
+    docs = spark.createDataFrame([(0, "abab"), (1, "xab")], "doc_id long, text string")
+    assert order(repeats.without_repeats(docs, 2).collect()) == order(brute([(0, "abab"), (1, "xab")], 2))
+    with pytest.raises(ValueError):
+        repeats.without_repeats(docs, 1)
+
+
+def test_query_has_the_contract_and_the_text_without_passages(spark, small):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    got = repeats.op8_column_wise_repeats(spark, small).collect()
+    assert order(r[:5] for r in got) == order(brute(rows, 400))
+    assert {r.doc_id: r.text for r in got} == both_brute(rows, 400, 51)
 
 
 def test_empty_table(spark):
@@ -66,27 +75,27 @@ def test_empty_table(spark):
     assert repeats.without_repeats(docs).count() == 0
 
 
-def word_brute(rows, size, words):
-    """kept text of each row, by counting every string of bytes and of words."""
-    spots = {k: [(m.start(), m.end()) for m in re.finditer(r"\S+", t)] for k, t in rows}
-    parts = {k: [t[b:e] for b, e in spots[k]] for k, t in rows}
-    counts = Counter(tuple(p[i : i + words]) for p in parts.values() for i in range(len(p) - words + 1))
-    strings = Counter(t[i : i + size] for _, t in rows for i in range(len(t) - size + 1))
+def both_brute(rows, size, words):
+    """doc_id -> what is left of the text's bytes, by counting every string of bytes and of words."""
+    bodies = {k: (t or "").encode() for k, t in rows}
+    spots = {k: [(len(t[: m.start()].encode()), len(t[: m.end()].encode())) for m in re.finditer(r"\S+", t)] for k, t in ((k, t or "") for k, t in rows)}
+    parts = {k: [bodies[k][b:e] for b, e in spots[k]] for k in bodies}
+    counts = Counter(hash(tuple(p[i : i + words])) for p in parts.values() for i in range(len(p) - words + 1))
+    strings = Counter(hash(t[i : i + size]) for t in bodies.values() for i in range(len(t) - size + 1))
     out = {}
-    for k, t in rows:
-        gone = [False] * len(t)
-        cuts = [(spots[k][i][0], spots[k][i + words - 1][1]) for i in range(len(parts[k]) - words + 1) if counts[tuple(parts[k][i : i + words])] > 1]
-        cuts += [(i, i + size) for i in range(len(t) - size + 1) if strings[t[i : i + size]] > 1]
+    for k, t in bodies.items():
+        gone = bytearray(len(t))
+        cuts = [(spots[k][i][0], spots[k][i + words - 1][1]) for i in range(len(parts[k]) - words + 1) if counts[hash(tuple(parts[k][i : i + words]))] > 1]
+        cuts += [(i, i + size) for i in range(len(t) - size + 1) if strings[hash(t[i : i + size])] > 1]
         for b, e in cuts:
-            gone[b:e] = [True] * (e - b)
-        out[k] = "".join(c for c, g in zip(t, gone, strict=True) if not g)
+            gone[b:e] = b"1" * (e - b)
+        out[k] = bytes(c for c, g in zip(t, gone, strict=True) if not g).decode("utf-8", "ignore")
     return out
 
 
 @pytest.mark.parametrize("limit", [4096, 1])
 def test_words_against_brute_force(spark, monkeypatch, limit):
     monkeypatch.setattr(repeats, "GROUP_LIMIT", limit)
-    monkeypatch.setattr(repeats, "WORD_GRAM", 3)
     rnd = random.Random(4)
     word = lambda: rnd.choice(["a", "be", "see", "it", "go", "word"])
     passages = [[word() for _ in range(rnd.randint(5, 20))] for _ in range(6)]
@@ -96,4 +105,4 @@ def test_words_against_brute_force(spark, monkeypatch, limit):
         rows.append((k, "".join(w + rnd.choice([" ", "\n", "  ", "\u3000", "\xa0"]) for p in parts for w in p)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.kept for r in repeats.without_repeats(docs, 400, whole=True, words=8).collect()}
-    assert got == word_brute(rows, 400, 8)
+    assert got == both_brute(rows, 400, 8)
