@@ -38,36 +38,37 @@ def text_lines(text: Column) -> Column:
 
 
 def drop_boilerplate(df: DataFrame, host: Column, lines: Column, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """``df`` with the columns host_, lines_ and kept_lines_ added: all lines and those that aren't boilerplate.
+    """row (a struct of all columns of ``df``), host, lines and kept: all lines and those that aren't boilerplate.
 
     Lines are compared without surrounding spaces; a blank line is never boilerplate. A line counts once for a page.
     A null host is a host of its own (the empty name), a row without lines counts as a page, repeated rows count as
-    pages each, and an empty table gives no rows.
+    pages each, and an empty table gives no rows. Columns of ``df`` may have any names.
 
     A page's distinct lines are reduced to hashes before the shuffle and counted with partial sums, so a hot host or
     line is combined where it is read. A host has at most (lines of a page) / ratio boilerplate lines, so its list is
-    small. The lists are broadcast up to ``BROADCAST_LINES`` and joined by host otherwise; that join may be split.
+    small. The lists are broadcast up to ``BROADCAST_LINES`` and joined by host otherwise; they are written first, so
+    the pages of a hot host can be dealt to several tasks.
     """
-    rows = df.withColumns({"host_": F.coalesce(host, F.lit("")), "lines_": lines})
-    hashed = rows.select("host_", F.array_distinct(F.transform(F.filter("lines_", lambda x: F.trim(x) != ""), lambda x: F.xxhash64(F.trim(x)))).alias("hashes"))
-    pages = rows.groupBy("host_").agg(F.count(F.lit(1)).alias("pages"))
-    counts = hashed.select("host_", F.explode("hashes").alias("hash")).groupBy("host_", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_pages)
-    found = counts.join(pages, "host_").filter(F.col("n") > F.col("pages") * F.lit(float(ratio)))
-    lists = checkpointed(found.groupBy("host_").agg(F.collect_list("hash").alias("boilerplate_"), F.count(F.lit(1)).alias("n")))
+    rows = df.select(F.struct("*").alias("row"), F.coalesce(host, F.lit("")).alias("host"), lines.alias("lines"))
+    hashed = rows.select("host", F.array_distinct(F.transform(F.filter("lines", lambda x: F.trim(x) != ""), lambda x: F.xxhash64(F.trim(x)))).alias("hashes"))
+    pages = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    counts = hashed.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_pages)
+    found = counts.join(pages, "host").filter(F.col("n") > F.col("pages") * F.lit(float(ratio)))
+    lists = checkpointed(found.groupBy("host").agg(F.collect_list("hash").alias("boilerplate"), F.count(F.lit(1)).alias("n")))
     if (lists.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_LINES:
         lists = F.broadcast(lists)
-    joined = rows.join(lists.drop("n"), "host_", "left")
-    kept = F.when(F.col("boilerplate_").isNull(), F.col("lines_")).otherwise(
-        F.filter("lines_", lambda x: (F.trim(x) == "") | ~F.array_contains("boilerplate_", F.xxhash64(F.trim(x))))
+    joined = rows.join(lists.drop("n"), "host", "left")
+    kept = F.when(F.col("boilerplate").isNull(), F.col("lines")).otherwise(
+        F.filter("lines", lambda x: (F.trim(x) == "") | ~F.array_contains("boilerplate", F.xxhash64(F.trim(x))))
     )
-    return joined.withColumn("kept_lines_", kept).select(*[F.col(c) for c in rows.columns], "kept_lines_")
+    return joined.select("row", "host", "lines", kept.alias("kept"))
 
 
 def op7_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return drop_boilerplate(pages, host_of(F.col("url")), html_lines(F.col("html"))).select(
-        "page_id", F.col("host_").alias("host"), F.size("lines_").cast("long").alias("n_lines"),
-        F.size("kept_lines_").cast("long").alias("n_kept"), F.md5(F.array_join("kept_lines_", "\n")).alias("kept_md5"),
+        "row.page_id", "host", F.size("lines").cast("long").alias("n_lines"),
+        F.size("kept").cast("long").alias("n_kept"), F.md5(F.array_join("kept", "\n")).alias("kept_md5"),
     )
 
 
