@@ -17,17 +17,13 @@ from tallyrail.llm.lines import drop_boilerplate, text_lines
 from tallyrail.llm.minhash import near_duplicates
 from tallyrail.llm.packing import pack, token_pieces
 from tallyrail.llm.quality import without_rejected
-from tallyrail.llm.repeats import without_repeats
-
-
-#: Words of the shortest passage that no two documents may share: over 50.
-PASSAGE_WORDS = 51
+from tallyrail.llm.repeats import PASSAGE_WORDS, without_repeats
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows whose doc_id isn't among the ids of ``gone``."""
-    ids = gone.select(F.col("doc_id").alias("gone_")).filter("gone_ IS NOT NULL").distinct()
-    return docs.join(ids, F.col("doc_id") == F.col("gone_"), "left_anti")
+    ids = gone.select(F.col("doc_id").alias("gone")).filter("gone IS NOT NULL").distinct()
+    return docs.join(ids, docs["doc_id"] == ids["gone"], "left_anti")
 
 
 def rewritten(docs: DataFrame, text) -> DataFrame:
@@ -43,9 +39,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines that are boilerplate within their source; documents stay, with the lines that are left."""
-    kept = drop_boilerplate(docs, F.col("source"), text_lines(F.col("text")))
-    same = F.size("lines_") == F.size("kept_lines_")
-    return rewritten(kept, F.when(same, F.col("text")).otherwise(F.array_join("kept_lines_", "\n"))).select(*docs.columns)
+    found = drop_boilerplate(docs, F.col("source"), text_lines(F.col("text")))
+    same = F.size("lines") == F.size("kept")
+    text = F.when(same, F.col("row.text")).otherwise(F.array_join("kept", "\n")).alias("text")
+    return rewritten(found.select(*[text if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]), F.col("text"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,8 +72,15 @@ STAGES = [("quality", quality), ("line dedup", lines), ("near duplicates", near)
 ORACLE_SQL = None
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each one keeps is written to the checkpoint folder and read again."""
+    """All stages over ``documents``; what each one keeps is written to the checkpoint folder and read again. A stage's
+    folder goes when the next one has been written; the last is read by the result."""
     folder = spark.conf.get("spark.checkpoint.dir", "") or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     folder = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -85,4 +89,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                removed(spark, f"{folder}/{k - 1}")
     return docs
