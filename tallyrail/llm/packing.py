@@ -14,9 +14,8 @@ import json
 import os
 import sys
 import zlib
-from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +27,14 @@ from .common import checkpointed, map_arrow, read_table
 
 #: Tokens of a sequence.
 CAPACITY = 2048
-#: Pieces that one partition packs on average, and rounds of exchange at most.
-PARTITION_PIECES, ROUNDS = 16_384, 4
-#: Words that a process remembers before it starts anew.
-MEMORY = 500_000
-#: Punctuation that often closes a word. It is a token group of its own behind a letter or digit.
-CLOSING = ".,!?;:*#%&$|"
+#: Pieces that one partition packs on average in the first round, and rounds after which their number has doubled.
+PARTITION_PIECES, DOUBLINGS = 16_384, 4
 #: Fixed value: the pattern by which byte-level tokenizers cut a text.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def ranked(path: str):
-    """The same vocabulary in the rank form that encodes short texts in a third of the time, or None.
+    """The same vocabulary in the rank form that encodes in a fraction of the time, or None.
 
     The two forms agree where the model is byte-level BPE without prefix space and ids are in the order of merges.
     """
@@ -62,64 +57,31 @@ def ranked(path: str):
     return tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
 
 
-class WordTable:
-    """Ids of the words between single spaces, as little-endian uint32 bytes.
-
-    The byte-level pattern starts a new group at every space that stands before a non-space, so the parts of a text
-    between single spaces are encoded alone. Texts with other space runs go through the tokenizer whole.
-    """
+class TextEncoder:
+    """Ids of whole texts as little-endian uint32 bytes: by the rank form where it gives the same ids, or else by the
+    tokenizer itself."""
 
     def __init__(self, path: str):
+        self.path, self.fast = path, ranked(path)
+
+    @cached_property
+    def tokenizer(self):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self.words: dict[str, bytes] = {}
-        self.fast = ranked(path)
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        return tokenizer
 
-    def direct(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str]) -> list[bytes]:
         if self.fast is not None:
-            encode = self.fast.encode_ordinary
-            return [array("I", encode(t)).tobytes() for t in texts]
+            return [self.fast.encode_to_numpy(t, disallowed_special=()).astype("<u4", copy=False).tobytes() for t in texts]
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[str]) -> None:
-        """Hold all of ``words``, in a new table where this one would grow too large. Words carry their leading
-        space. Closing punctuation is looked up apart from its word."""
-        if len(self.words) + sum(w not in self.words for w in words) > MEMORY:
-            self.words = {}
-        split = {}
-        fresh = set()
-        for word in words:
-            stem = word.rstrip(CLOSING)
-            if len(stem) > 1 and stem != word and stem[-1].isalnum():
-                split[word] = (stem, word[len(stem) :])
-                fresh.update(split[word])
-            else:
-                fresh.add(word)
-        ordered = [w for w in fresh if w not in self.words]
-        self.words.update(zip(ordered, self.direct(ordered), strict=True))
-        for word, (stem, tail) in split.items():
-            self.words[word] = self.words[stem] + self.words[tail]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts: list[list[str] | None] = []
-        for text in texts:
-            plain = text and "  " not in text and text[0] != " " and text[-1] != " "
-            parts.append(None if not plain else text.replace(" ", "\0 ").split("\0") if "\0" not in text else None)
-        known = self.words
-        if missing := {w for p in parts if p for w in p if w not in known}:
-            anew = len(known) + len(missing) > MEMORY
-            self.learn({w for p in parts if p for w in p} if anew else missing)
-        whole = iter(self.direct([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        find = self.words.__getitem__
-        return [next(whole) if p is None else b"".join(map(find, p)) for p in parts]
-
 
 @lru_cache(maxsize=2)
-def word_table(path: str) -> WordTable:
-    return WordTable(path)
+def text_encoder(path: str) -> TextEncoder:
+    return TextEncoder(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -130,12 +92,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key:
     """
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        table = word_table(tokenizer)
+        encoder = text_encoder(tokenizer)
         names, columns = batch.column(0), [[] for _ in range(6)]
         size, step = len(batch), 256
         for at in range(0, size, step):
             texts = [t or "" for t in batch.column(1).slice(at, step).to_pylist()]
-            for k, ids in enumerate(table.encode(texts), at):
+            for k, ids in enumerate(encoder.encode(texts), at):
                 ids += b"\0\0\0\0"
                 total = len(ids) // 4
                 cuts = [0, *range((total - 1) % capacity + 1, total + 1, capacity)]
@@ -201,11 +163,13 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, np.array(fills, np.int64)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES, rounds: int = ROUNDS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES) -> DataFrame:
     """Give every row of ``pieces`` (a column ``length`` from 1 to ``capacity``) a sequence_id and an offset.
 
     Also certified: whether the partition that placed the piece met its lower bound. An empty input gives an empty
-    result. Rows are dealt evenly, not by a key, so no document or group of copies can fill a partition.
+    result. Rows are dealt evenly, not by a key, so no document or group of copies can fill a partition. A round's
+    partitions hold twice the pieces of the round before, up to ``DOUBLINGS`` times, and exchange goes on until one
+    partition holds what is open, or a later round leaves more than three quarters of it open.
     """
     names = pieces.columns
     schema = pieces.schema.simpleString()[7:-1].replace(",", ", ") + ", sequence_id long, offset long, certified boolean, open boolean"
@@ -231,16 +195,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PA
         return guarded
 
     rest, done = checkpointed(pieces), []
-    n, level = rest.count(), 0
+    n, level, before = rest.count(), 0, None
     while True:
-        parts = max(1, -(-n // partition_pieces))
-        last = level + 1 >= rounds or parts == 1
+        parts = max(1, -(-n // (partition_pieces << min(level, DOUBLINGS))))
+        last = parts == 1 or (level > DOUBLINGS and 4 * n > 3 * before)
         placed = checkpointed(rest.repartition(parts).mapInArrow(packed(level, last), schema))
         done.append(placed.filter(~F.col("open")).drop("open"))
         if last:
             break
         rest = placed.filter("open").select(*names)
-        n, level = rest.count(), level + 1
+        n, level, before = rest.count(), level + 1, n
     out = done[0]
     for df in done[1:]:
         out = out.unionByName(df)

@@ -11,11 +11,11 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def test_ids_are_the_tokenizer_s():
-    table, direct = packing.word_table(PATH), Tokenizer.from_file(PATH)
+    table, direct = packing.text_encoder(PATH), Tokenizer.from_file(PATH)
     direct.encode_special_tokens = True
     rnd = random.Random(1)
     parts = ["a", "e", "the", " ", "  ", "\n", "é", "漢", "🙂", "　", "\x00", "ing", "\t", ".", "'s", "'", "1", "…", "<|endoftext|>", "!!", "word,", "two words. "]
-    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(3000)]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(3000)] + ["x" * 100_000, " " * 100_000 + "a", "ab " * 50_000]
     got = [np.frombuffer(x, "<u4").tolist() for x in table.encode(texts)]
     assert got == [e.ids for e in direct.encode_batch(texts, add_special_tokens=False)]
 
@@ -91,9 +91,18 @@ def test_partitions_exchange_what_has_gaps(spark):
     assert checked(rows, 100) <= one * 1.05
 
 
-def test_word_table_begins_anew(monkeypatch):
-    monkeypatch.setattr(packing, "MEMORY", 5)
-    table = packing.WordTable(PATH)
-    for k in range(20):
-        texts = [f"word{k} other{k % 3}, third. {k} more words than it holds"] * 2
-        assert [np.frombuffer(x, "<u4").tolist() for x in table.encode(texts)] == [e.ids for e in table.tokenizer.encode_batch(texts, add_special_tokens=False)]
+def test_without_a_rank_form(monkeypatch):
+    texts = ["", "a word", "  two  words\n", "<|endoftext|> é漢"]
+    want = packing.TextEncoder(PATH).encode(texts)
+    monkeypatch.setattr(packing, "ranked", lambda path: None)
+    assert packing.TextEncoder(PATH).encode(texts) == want
+
+
+def test_rounds_go_on_until_one_partition_is_left(spark):
+    rnd = random.Random(6)
+    pieces = spark.createDataFrame([(k, rnd.randint(1, 100)) for k in range(3000)], "k long, length long").selectExpr("*", "1 AS bins", "'x' AS room")
+    got = packing.pack(pieces, 100, partition_pieces=40).collect()
+    at_once = len(packing.best_fit(np.array([r.length for r in got]), 100)[2])
+    checked(got, 100)
+    assert len(got) == 3000 and len({r.sequence_id for r in got}) <= 1.02 * at_once
+    assert {(r.bins, r.room) for r in got} == {(1, "x")}
