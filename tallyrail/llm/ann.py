@@ -3,7 +3,10 @@
 A table hashes a unit vector by a pseudo-random rotation, three rounds of sign flips and a fast Hadamard transform,
 to the nearest of the signed axes: the coordinate of largest size, with its sign. Two such hashes make a bucket. A
 query probes, in each table, the buckets of the axes that come next, in order of what they lose against the best. The
-vectors of the probed buckets are the candidates, which are ranked by their exact inner products.
+vectors of the probed buckets are the candidates.
+
+Whole vectors aren't sent to the buckets, but codes of one byte a component. They choose the ``SHORT_LIST`` candidates
+of a query, which are then joined to their vectors and ranked by exact inner products in double precision.
 
 Inner product search is turned to search among unit vectors by bands of norms. Vectors are hashed by their directions,
 and those of a band, whose norms differ by a tenth at most, have buckets of their own, which a query probes as many of
@@ -21,10 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_arrow, read_table, stream64
+from .common import checkpointed, map_arrow, read_table, stream64, utf8
 
-#: Neighbours returned, tables, and vectors of a bucket that one task ranks on average.
+#: Neighbours returned, tables, and vectors that a task holds at a time on average.
 NEIGHBOURS, TABLES, BUCKET_ROWS = 20, 24, 20_000
+#: Candidates of a query that are ranked exactly, for each neighbour asked for.
+SHORT_LIST = 3
+#: Heavy buckets up to which their list is broadcast: it is below two MB then.
+BROADCAST_BUCKETS = 100_000
 #: Probes of a table are SCALE / sqrt(rows), within these bounds: the nearest of few rows lie farther off.
 SCALE, LEAST_PROBES, MOST_PROBES = 20_000, 64, 4096
 #: Scored pairs that a task holds before it reduces them to the best of each query.
@@ -78,15 +85,6 @@ def buckets(x: np.ndarray, table: int, probes: int) -> tuple[np.ndarray, np.ndar
     return np.take_along_axis(a, order // b.shape[1], 1), np.take_along_axis(b, order % b.shape[1], 1)
 
 
-def products(queries: np.ndarray, vectors: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Inner products of the pairs (queries[x], vectors[y]) in double precision, added in order of the components, so
-    equal vectors have equal scores wherever they stand."""
-    out = np.zeros(len(x))
-    for d in range(queries.shape[1]):
-        out += queries[:, d][x] * vectors[:, d][y]
-    return out
-
-
 def sound(df: DataFrame, key: str, vector: str) -> DataFrame:
     """vec_id and v of the vectors that can take part: not null or zero, all components finite."""
     return df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v")).filter(
@@ -100,40 +98,64 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def hashed(rows: DataFrame, tables: int, bands: list[tuple[int, int]] | None = None) -> DataFrame:
-    """bucket (band, first axis and table), id, axes (the second axes) and v. An index row, with its ``band``, has one
-    bucket of one axis in each table, and one in all in the band BARE. A query has a row for each first axis that it
-    probes, with all second axes, in each of the ``bands`` (number and probes)."""
-    kind = rows.schema["v"].dataType.simpleString()
+def coded(x: np.ndarray) -> pa.Array:
+    """A float32 scale and a signed byte for each component of every row."""
+    scale = (np.abs(x).max(axis=1) / 127).astype(np.float32)
+    scale[scale == 0] = np.finfo(np.float32).tiny  # a vector below the range of float32 is next to nothing beside others
+    codes = np.clip(np.rint(x / scale[:, None].astype(np.float64)), -127, 127).astype(np.int8)
+    body = np.concatenate([scale.view(np.int8).reshape(len(x), 4), codes], axis=1)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(body.shape[1]), len(x), [None, pa.py_buffer(np.ascontiguousarray(body))]).cast(pa.binary())
+
+
+def vectors_of(column: pa.Array, width: int) -> np.ndarray:
+    """What ``coded`` rows stand for, as float32."""
+    data, _ = utf8(column)
+    body = data.reshape(len(column), width + 4)
+    return body[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(body[:, :4]).view(np.float32)
+
+
+def hashed(rows: DataFrame, tables: int, shared: dict[int, int], bands: list[tuple[int, int]] | None = None) -> DataFrame:
+    """bucket (band, table and the group of ``shared[band]`` first axes), id, pairs and code. ``pairs`` are the places in
+    the bucket, of first and second axis, as uint32 bytes: the one of an index row with its ``band``, and all that a
+    query probes in each of the ``bands`` (number and probes). The band BARE is one bucket with one place."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        whole = np.arange(len(batch)) if bands is not None else np.flatnonzero(batch.column("band").to_numpy() == BARE)
-        if len(whole) and (bands is None or any(band == BARE for band, _ in bands)):
-            axes = pa.ListArray.from_arrays(pa.array(np.arange(len(whole) + 1), pa.int32()), pa.array(np.zeros(len(whole)), pa.int32()))
-            yield pa.record_batch([pa.array(np.full(len(whole), -1), pa.int64()), batch.column("id").take(pa.array(whole)), axes, batch.column("v").take(pa.array(whole))], names=["bucket", "id", "axes", "v"])
-        if bands is None:
-            batch = batch.filter(pa.array(batch.column("band").to_numpy() != BARE))
-        probed = [x for x in bands if x[0] != BARE] if bands is not None else [(None, 1)]
-        if not len(batch) or not probed:
-            return
         x = matrix(batch.column("v"))
+        code = coded(x)
+        norm = np.abs(x).max(axis=1, keepdims=True)
+        x = x / norm  # squares stay in range
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         number = batch.column("band").to_numpy() if bands is None else None
         width = axes_of(x.shape[1])
+
+        def sent(bucket: np.ndarray, row: np.ndarray, first: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+            cuts = np.r_[first, len(place)] * 4
+            pairs = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(place.astype("<u4"))])
+            at = pa.array(row)
+            return pa.record_batch([pa.array(bucket, pa.int64()), batch.column("id").take(at), pairs, code.take(at)], names=["bucket", "id", "pairs", "code"])
+
+        whole = np.arange(len(x)) if bands is not None else np.flatnonzero(number == BARE)
+        if len(whole) and (bands is None or any(band == BARE for band, _ in bands)):
+            yield sent(np.full(len(whole), -1), whole, np.arange(len(whole)), np.zeros(len(whole), np.int64))
+        rest = np.arange(len(x)) if bands is not None else np.flatnonzero(number != BARE)
+        probed = [b for b in bands if b[0] != BARE] if bands is not None else [(None, 1)]
+        if not len(rest) or not probed:
+            return
+        together = np.array([shared.get(int(b), 1) for b in number[rest]]) if bands is None else None
         for table in range(tables):
-            best = buckets(x, table, max(probes for _, probes in probed))
+            best = buckets(x[rest], table, max(probes for _, probes in probed))
             for band, probes in probed:
                 a, b = (c[:, :probes] for c in best)
-                row = np.repeat(np.arange(len(x)), a.shape[1])
-                order = np.lexsort((a.reshape(-1), row))
-                row, a, b = row[order], a.reshape(-1)[order], b.reshape(-1)[order]
-                first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (a[1:] != a[:-1])])
-                axes = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)], pa.int32()), pa.array(b, pa.int32()))
-                at = pa.array(row[first])
-                of = number[row[first]] if band is None else band
-                yield pa.record_batch([pa.array((of * width + a[first]) * tables + table, pa.int64()), batch.column("id").take(at), axes, batch.column("v").take(at)], names=["bucket", "id", "axes", "v"])
+                row = np.repeat(np.arange(len(rest)), a.shape[1])
+                a, b = a.reshape(-1), b.reshape(-1)
+                of, size = (number[rest][row], together[row]) if band is None else (band, shared[band])
+                bucket, place = (of * width + a // size) * tables + table, a % size * width + b
+                order = np.lexsort((bucket, row))
+                row, bucket, place = row[order], bucket[order], place[order]
+                first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])])
+                yield sent(bucket[first], rest[row[first]], first, place)
 
-    return map_arrow(rows.select("id", "v", *["band"] * (bands is None)), run, f"bucket long, id long, axes array<int>, v {kind}")
+    return map_arrow(rows.select("id", "v", *["band"] * (bands is None)), run, "bucket long, id long, pairs binary, code binary")
 
 
 def nearest(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", k: int = NEIGHBOURS, tables: int = TABLES, probes: int | None = None) -> DataFrame:
@@ -142,11 +164,13 @@ def nearest(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embeddi
     ``is_query`` is a function of the id column. Nearness is the inner product in double precision of the vectors as
     given; ties go to the smaller id; a query isn't its own neighbour. Vectors that are null, zero or hold null or
     non-finite components take no part, nor do rows without id or of another length than the most common one.
-    Repeated rows of an id are one. If fewer than ``k`` candidates exist, all are returned.
+    Repeated rows of an id are one. ``probes`` are the buckets that a query looks into in each table and band; by
+    default they follow from the band's rows. If fewer than ``k`` candidates exist, all are returned.
 
     Equal vectors are one entry of the index with its k + 1 smallest ids, which is all that a result can show, and
-    equal queries are searched once. Each vector is in one bucket of a table; a bucket of many is dealt to several
-    tasks by salt, and each task keeps the k best of a query, so candidates never leave a task.
+    equal queries are searched once. First axes are put together so that a bucket has about ``BUCKET_ROWS`` vectors,
+    and a bucket of more is dealt to several tasks by salt. A task holds the codes of one bucket's part, looks up the
+    queries that are streamed past, and keeps the best of each query, so candidates never leave it.
     """
     rows = sound(df, key, vector)
     length = rows.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "n").first()
@@ -164,6 +188,9 @@ def nearest(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embeddi
     banded = entries.select("id", "v", band.alias("band"))
     sizes = {r["band"]: r["count"] for r in banded.groupBy("band").count().collect()}
     bands = [(b, probes or max(LEAST_PROBES, min(MOST_PROBES, int(SCALE / n**0.5)))) for b, n in sorted(sizes.items()) if b != BARE and n > FEW_ROWS]
+    width = length["n"]
+    axes = axes_of(width)
+    shared = {b: 1 << max(0, min(axes.bit_length() - 1, int(math.log2(max(1, BUCKET_ROWS * axes / sizes[b]))))) for b, _ in bands}
     if len(bands) < len(sizes):
         banded = banded.withColumn("band", F.when(F.col("band").isin([b for b, _ in bands]), F.col("band")).otherwise(F.lit(BARE)))
         bands.append((BARE, 1))
@@ -171,69 +198,92 @@ def nearest(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embeddi
     asked = checkpointed(asked)
     questions = entries.join(asked.select("id").distinct(), "id", "left_semi")
 
-    index = hashed(banded, tables)
-    counts = index.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).select("bucket", F.ceil(F.col("n") / F.lit(BUCKET_ROWS)).cast("int").alias("parts"))
-    counts = checkpointed(counts)
-    data = index.join(counts, "bucket").select("bucket", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), "id", "axes", "v")
-    probes_ = hashed(questions, tables, bands).join(counts, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "id", "axes", "v")
+    index = hashed(banded, tables, shared)
+    heavy = checkpointed(index.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * BUCKET_ROWS).select("bucket", F.ceil(F.col("n") / F.lit(BUCKET_ROWS)).cast("int").alias("parts")))
+    n_heavy = heavy.count()
+    of = F.broadcast(heavy) if n_heavy <= BROADCAST_BUCKETS else heavy
+    split = lambda d: d.join(of, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1))) if n_heavy else d.withColumn("parts", F.lit(1))
+    data = split(index).select("bucket", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side"), "id", "pairs", "code")
+    probes_ = split(hashed(questions, tables, shared, bands)).select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "id", "pairs", "code")
     both = data.union(probes_).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "side", "id")
-
-    width = length["n"]
-    axes = axes_of(width)
+    short = SHORT_LIST * (k + 1)
+    places = axes * max([*shared.values(), 1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, vectors, wanted = None, np.zeros(0, np.int64), np.zeros((0, width)), np.zeros((0, axes), bool)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        now, held, found = None, [], []
+        ids = vectors = starts = None
 
         def shrink() -> None:
-            """Keep the k + 1 best of each query."""
+            """Keep the best of each query."""
             q, v, s = (np.concatenate(c) for c in zip(*found, strict=True))
             order = np.lexsort((v, -s, q))
             order = order[np.r_[True, (np.diff(q[order]) != 0) | (np.diff(v[order]) != 0)]]  # tables find a pair again
             q, v, s = q[order], v[order], s[order]
             first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
             rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
-            found[:] = [(q[rank <= k], v[rank <= k], s[rank <= k])]
+            found[:] = [(q[rank < short], v[rank < short], s[rank < short])]
 
         def release() -> Iterator[pa.RecordBatch]:
             if found:
                 shrink()
-                yield pa.record_batch([pa.array(x) for x in found[0]], names=["question", "id", "score"])
+                yield pa.record_batch([pa.array(x) for x in found[0]], names=["question", "id", "near"])
                 found.clear()
 
+        def laid() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """ids and vectors of the held index rows in order of their places, and where each place starts."""
+            if not held:
+                return np.zeros(0, np.int64), np.zeros((0, width), np.float32), np.zeros(places + 1, np.int64)
+            table = pa.Table.from_batches(held).combine_chunks()
+            place = np.frombuffer(utf8(table.column("pairs").chunk(0))[0].tobytes(), "<u4")
+            order = np.argsort(place, kind="stable")
+            starts = np.searchsorted(place[order], np.arange(places + 1))
+            return table.column("id").to_numpy()[order], vectors_of(table.column("code").chunk(0), width)[order], starts
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bucket, part, side, id_ = (batch.column(c).to_numpy() for c in ("bucket", "part", "side", "id"))
-            v = matrix(batch.column("v"))
+            bucket, part, side = (batch.column(c).to_numpy() for c in ("bucket", "part", "side"))
             edges = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1]) | (side[1:] != side[:-1])])
             for s, e in zip(edges.tolist(), [*edges[1:].tolist(), len(bucket)], strict=True):
                 if (bucket[s], part[s]) != now:
-                    now, ids, vectors, wanted = (bucket[s], part[s]), ids[:0], vectors[:0], wanted[:0]
-                second = batch.column("axes").slice(s, e - s)
+                    now, held, ids = (bucket[s], part[s]), [], None
                 if side[s] == 0:
-                    probed = np.zeros((e - s, axes), bool)
-                    probed[second.value_parent_indices().to_numpy(), second.flatten().to_numpy()] = True
-                    ids, vectors, wanted = np.r_[ids, id_[s:e]], np.vstack([vectors, v[s:e]]), np.vstack([wanted, probed])
+                    held.append(batch.slice(s, e - s).select(["id", "pairs", "code"]))
                     continue
-                axis = second.flatten().to_numpy()
-                for at in range(0, len(ids), 256):  # those in the query's second axes alone
-                    x, y = np.nonzero(wanted[at : at + 256][:, axis])
-                    found.append((ids[at : at + 256][x], id_[s:e][y], products(vectors[at : at + 256], v[s:e], x, y)))
-                if sum(len(f[0]) for f in found) > HELD_PAIRS:
-                    shrink()
-                    if len(found[0][0]) > HELD_PAIRS // 2:
-                        yield from release()
+                if ids is None:
+                    ids, vectors, starts = laid()
+                    held = []
+                for at in range(s, e if len(ids) else s, 64):
+                    some = batch.slice(at, min(64, e - at))
+                    data, cuts = utf8(some.column("pairs"))
+                    place = np.frombuffer(data.tobytes(), "<u4").astype(np.int64)
+                    lo, hi = starts[place], starts[place + 1]
+                    n = hi - lo
+                    x = np.repeat(np.repeat(np.arange(len(some)), np.diff(cuts) // 4), n)
+                    y = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    of_query = vectors_of(some.column("code"), width)
+                    for t in range(0, len(x), 1 << 18):
+                        xs, ys = x[t : t + (1 << 18)], y[t : t + (1 << 18)]
+                        found.append((some.column("id").to_numpy()[xs], ids[ys], np.einsum("ij,ij->i", of_query[xs], vectors[ys]).astype(np.float64)))
+                    if sum(len(f[0]) for f in found) > HELD_PAIRS:
+                        shrink()
+                        if len(found[0][0]) > HELD_PAIRS // 2:
+                            yield from release()
         yield from release()
 
-    best = both.mapInArrow(run, "question long, id long, score double")
-    # each entry found is its ids; a question's own entry may hold the query itself, so k + 1 entries are kept
-    top = best.groupBy("question", "id").agg(F.max("score").alias("score")).groupBy("question").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("low"), "id"))), 1, k + 1).alias("found")
+    best = both.mapInArrow(run, "question long, id long, near double")
+    chosen = best.groupBy("question", "id").agg(F.max("near").alias("near")).groupBy("question").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("near")).alias("low"), "id"))), 1, short).alias("found")
     )
-    spread = top.select("question", F.explode("found").alias("f")).select("question", F.col("f.id").alias("id"), (-F.col("f.low")).alias("score"))
-    named = spread.join(entries.select("id", "ids"), "id").select("question", "score", F.explode("ids").alias("vec_id"))
-    listed = named.groupBy("question").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("low"), "vec_id"))), 1, k + 1).alias("found"))
+    pairs = chosen.select("question", F.explode("found.id").alias("id"))
+    # exact products, added in order of the components, so equal vectors have equal scores wherever they stand
+    doubles = lambda c: F.col(c).cast("array<double>")
+    exact = F.aggregate(F.zip_with(doubles("asks"), doubles("v"), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x).alias("score")
+    scored = pairs.join(entries, "id").join(questions.select(F.col("id").alias("question"), F.col("v").alias("asks")), "question").select("question", exact, "id", "ids")
+    # each entry found is its ids; a question's own entry may hold the query itself, so k + 1 entries are kept
+    top = scored.groupBy("question").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("low"), "id", "ids"))), 1, k + 1).alias("found"))
+    named = top.select("question", F.explode("found").alias("f")).select("question", "f.low", F.explode("f.ids").alias("vec_id"))
+    listed = named.groupBy("question").agg(F.slice(F.array_sort(F.collect_list(F.struct("low", "vec_id"))), 1, k + 1).alias("found"))
     answers = asked.join(listed, asked["id"] == listed["question"]).select("query_id", F.slice(F.filter("found", lambda f: f["vec_id"] != F.col("query_id")), 1, k).alias("found"))
     return answers.select("query_id", F.posexplode("found").alias("at", "f")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("f.vec_id").alias("vec_id"), (-F.col("f.low")).alias("score"))
 
