@@ -101,7 +101,7 @@ def test_without_a_rank_form(monkeypatch):
 def test_rounds_go_on_until_one_partition_is_left(spark):
     rnd = random.Random(6)
     pieces = spark.createDataFrame([(k, rnd.randint(1, 100)) for k in range(3000)], "k long, length long").selectExpr("*", "1 AS bins", "'x' AS room")
-    got = packing.pack(pieces, 100, partition_pieces=40).collect()
+    got = packing.pack(pieces, 100, partition_pieces=300).collect()
     at_once = len(packing.best_fit(np.array([r.length for r in got]), 100)[2])
     checked(got, 100)
     assert len(got) == 3000 and len({r.sequence_id for r in got}) <= 1.02 * at_once
