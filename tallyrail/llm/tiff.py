@@ -290,16 +290,24 @@ def tiff_pages(df: DataFrame, key: str, media: str) -> DataFrame:
 ROW = 64
 
 
+#: Rows of a page; a longer payload has several, one directory after the other.
+PAGE_ROWS = 512
+
+
 def stored(payload: bytes) -> bytes:
-    """A payload of whole rows as a one-page TIFF. The layout depends on the number of rows, so that strips and
-    tiles, deflate and PackBits, with and without predictor, all occur in a corpus."""
+    """A payload of whole rows as a TIFF. The layout depends on the payload alone, so that strips and tiles, deflate,
+    LZW and PackBits, with and without predictor, and files of several pages all occur in a corpus. LZW has one
+    payload in eight, as it is coded byte by byte."""
     image = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
-    layout = len(image) % 3
+    pages = [image[at : at + PAGE_ROWS] for at in range(0, len(image), PAGE_ROWS)]
+    layout = zlib.crc32(payload) % 8
     if layout == 0:
-        return write_pages([image], DEFLATE, predictor=2)
-    if layout == 1:
-        return write_pages([image], DEFLATE, tile=(ROW, 256))
-    return write_pages([image], PACKBITS)
+        return write_pages(pages, LZW, predictor=1 + len(image) % 2)
+    if layout < 3:
+        return write_pages(pages, DEFLATE, predictor=2)
+    if layout < 6:
+        return write_pages(pages, DEFLATE, tile=(ROW, 256))
+    return write_pages(pages, PACKBITS)
 
 
 def feature(pixels: np.ndarray) -> str:
@@ -316,7 +324,7 @@ def feature(pixels: np.ndarray) -> str:
 
 
 def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Store every text as a TIFF and read it back.
+    """Store every text as a TIFF of one page or more and read it back.
 
     The payload is the text's UTF-8 bytes (null: empty) and bytes 0 up to a positive multiple of 64. The digests and
     the feature are made from the decoded pixels, and media_* describe the stored file. Nothing else of the row is
@@ -328,9 +336,9 @@ def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         for value in batch.column(1):
             body = value.as_py().encode() if value.is_valid else b""
             media = stored(body + b"\0" * (-len(body) % ROW or (ROW if not body else 0)))
-            (page,) = read_pages(media)
-            payload = page.pixels.tobytes()
-            rows.append((len(body), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(page.pixels)))
+            pixels = np.concatenate([page.pixels for page in read_pages(media)])
+            payload = pixels.tobytes()
+            rows.append((len(body), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(pixels)))
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         yield pa.record_batch([batch.column(0)] + [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", *names])
 

@@ -1,3 +1,4 @@
+import math
 import zlib
 from collections import Counter
 
@@ -45,3 +46,17 @@ def test_many_blocks_and_empty(spark, monkeypatch):
         by_shard.setdefault(r.shard, []).append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in by_shard.values())
     assert sharding.assign(docs.limit(0)).count() == 0
+
+
+def test_winners_from_the_scores(spark):
+    """The winner, worked out again from each shard's score."""
+    docs = spark.createDataFrame([(k,) for k in range(300)] + [(None,)], "doc_id long")
+    hashes = [F.xxhash64("doc_id", F.lit(i)).alias(f"h{i}") for i in range(6)]
+    for weights in ([1.0] * 5, [1.0, 2.5, 0.5, 1.0, 4.0]):
+        for r in docs.select(*hashes, sharding.rendezvous(F.col("doc_id"), weights)["shard"].alias("shard")).collect():
+            scores = [-math.log(((r[f"h{i}"] % (1 << 64) >> 11) + 0.5) / (1 << 53)) / w for i, w in enumerate(weights)]
+            assert scores[r.shard] == min(scores)
+    for r, row in zip(docs.select("doc_id", *hashes).collect(), sharding.assign(docs.selectExpr("doc_id", "'x' AS text").filter("doc_id IS NOT NULL"), weights=[1.0] * 5).orderBy("doc_id").collect(), strict=False):
+        if r.doc_id is not None:
+            scores = [-math.log(((r[f"h{i}"] % (1 << 64) >> 11) + 0.5) / (1 << 53)) for i in range(6)]
+            assert (r.doc_id, row.shard, row.grown_shard) == (row.doc_id, scores.index(min(scores[:5])), scores.index(min(scores)))

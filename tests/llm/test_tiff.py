@@ -56,3 +56,16 @@ def test_text_media(spark):
         assert got[k].media_bytes > 0 and got[k].feature
     assert got[7][1:] == got[8][1:] and got[0][1:] == got[1][1:]
     assert tiff.text_media(docs.limit(0)).count() == 0
+
+
+def test_stored_layouts():
+    """Every layout occurs, and a long payload has several pages that follow each other."""
+    seen = set()
+    for k in range(200):
+        payload = (b"%d some words " % k * (3000 if k % 50 == 0 else k + 1))
+        payload += b"\0" * (-len(payload) % tiff.ROW)
+        pages = list(tiff.read_pages(tiff.stored(payload)))
+        assert b"".join(p.pixels.tobytes() for p in pages) == payload
+        assert len(pages) == -(-len(payload) // (tiff.ROW * tiff.PAGE_ROWS))
+        seen.add((pages[0].compression, len(pages) > 1))
+    assert {c for c, _ in seen} == {tiff.LZW, tiff.DEFLATE, tiff.PACKBITS} and {many for _, many in seen} == {True, False}
