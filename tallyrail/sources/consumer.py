@@ -45,14 +45,17 @@ class Consumer:
 
     def next_event(self) -> Row | None:
         if self.lost is None and not self.held:
-            epoch, head = self.changes().agg(F.max("continuity_epoch"), F.max(F.when(F.col("continuity_epoch") == self.epoch, F.col("position")))).first()
-            if epoch is not None and epoch > self.epoch:
+            own = F.col("continuity_epoch") == self.epoch
+            news = self.changes().filter((F.col("continuity_epoch") > self.epoch) | (own & (F.col("position") > self.position)))
+            later, head = news.agg(F.max("continuity_epoch"), F.max(F.when(own, F.col("position")))).first()
+            if later is None:
+                return None
+            if later > self.epoch:
                 self.lost = "Reconnect"
-            elif head is not None and head - self.position > self.capacity:
+            elif head - self.position > self.capacity:
                 self.lost = "Overrun"
             else:
-                fresh = self.changes().filter((F.col("continuity_epoch") == self.epoch) & (F.col("position") > self.position))
-                self.held.extend(fresh.orderBy("position").limit(self.batch).collect())
+                self.held.extend(news.orderBy("position").limit(self.batch).collect())
                 if self.held and self.held[0]["position"] != self.position + 1:
                     self.lost = "Gap"
         if self.lost is not None:

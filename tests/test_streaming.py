@@ -49,7 +49,7 @@ def test_replay_source(spark, tmp_path):
 def test_book_stream_matches_the_batch_engine(spark, tmp_path):
     pytest.importorskip("pandas")
     spark.conf.set(*ROCKS)
-    levels = lambda k, base: [{"price": f"0.{base + k % 3}", "qty": str(k % 4 + 1)}, {"price": f"0.{base + 3}", "qty": "7"}]
+    levels = lambda k, base: [{"price": f"0.{base + k % 3}" + "0" * (k % 2), "qty": str(k % 4 + 1)}, {"price": f"0.{base + 3}", "qty": "7"}]
     rows = []
     for m in ("x", "y"):
         for k in range(24):
