@@ -26,8 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = checkpointed(large)
-        small = checkpointed(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.groupBy("a").agg(F.min("b").alias("m"))  # a node has few least ones here
         hung = large.join(small, "a").select(F.col("b").alias("x"), F.col("m").alias("y"))
         edges = checkpointed(
             small.select("a", F.col("m").alias("b")).union(hung.filter("x <> y").select(F.greatest("x", "y"), F.least("x", "y"))).distinct()
