@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -39,6 +40,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return plain
 
 
+def released() -> None:
+    """Give freed memory back to the system. Python workers stay for later tasks and would keep it, beside the memory
+    that the executor and its other workers need."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """Apply ``fn`` to each Arrow batch; ``fn`` yields the output batches of one input batch."""
 
@@ -46,6 +55,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
         for batch in batches:
             if batch.num_rows:
                 yield from fn(batch)
+        released()
 
     return df.mapInArrow(run, schema)
 

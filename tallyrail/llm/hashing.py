@@ -16,7 +16,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1); kept and lengthened when a longer buffer comes."""
     known = _powers.get(int(base))
     if known is None or len(known) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         known = np.full(size, base, np.uint64)
         known[0] = 1
         known = np.multiply.accumulate(known)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_arrow, mix64, read_table, slices, stream64, utf8
+from .common import checkpointed, map_arrow, mix64, read_table, released, slices, stream64, utf8
 from .graph import components
 from .hashing import PrefixHash
 
@@ -151,6 +151,8 @@ def by_group(batches: Iterator[pa.RecordBatch], column: str, rows: int) -> Itera
             n = sum(len(b) for b in held)
     if n:
         yield pa.Table.from_batches(held)
+    held.clear()
+    released()
 
 
 def grown(similar, first: np.ndarray, rest: np.ndarray) -> Iterator[tuple[int, int]]:

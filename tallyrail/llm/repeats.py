@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_arrow, mix64, read_table, slices, utf8
+from .common import checkpointed, map_arrow, mix64, read_table, released, slices, utf8
 from .hashing import PrefixHash, window_minima
 
 #: Bytes of a string that counts, and of the k-gram that names it.
@@ -41,14 +41,14 @@ WORD_GRAM = 24
 #: Unlike windows of one anchor that a task lays out, windows of a batch, and of a partition on average.
 GROUP_LIMIT, BATCH_WINDOWS, PARTITION_WINDOWS = 4096, 8192, 16_384
 #: Starts of a document that are hashed at a time.
-PART = 1 << 20
+PART = 1 << 19
 POSITION = np.uint64((1 << 28) - 1)
 UID = ["u1", "u2"]
 #: White space of one byte, first bytes of longer white space, and words that are hashed at a time.
 BLANK = np.isin(np.arange(256), list(b"\t\n\v\f\r\x1c\x1d\x1e\x1f "))
 LONGER = [x.encode() for x in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
 LONGER_HEAD = np.isin(np.arange(256), [x[0] for x in LONGER])
-PART_WORDS = 1 << 17
+PART_WORDS = 1 << 16
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,6 +238,8 @@ def constructed(windows: DataFrame, count: int, size: int, gram: int, words: boo
                     held = held.slice(cut).combine_chunks()
         if held is not None and held.num_rows:
             yield solve(held)
+        held = None
+        released()
 
     parts = max(1, -(-count // PARTITION_WINDOWS))
     dealt = windows.repartition(parts, "g").sortWithinPartitions("g", "h")
