@@ -12,6 +12,8 @@ Inner product search is turned to search among unit vectors by bands of norms. V
 and those of a band, whose norms differ by a tenth at most, have buckets of their own, which a query probes as many of
 as the band's rows ask for: what is among the best of all is among the best of its band, and there the norm hardly
 counts. The vectors of all bands of few rows form one more bucket that every query probes.
+
+A query whose buckets hold fewer candidates than it may return is compared with all vectors, in blocks.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import checkpointed, map_arrow, read_table, stream64, utf8
@@ -34,6 +37,8 @@ SHORT_LIST = 3
 BROADCAST_BUCKETS = 100_000
 #: Probes of a table are SCALE / sqrt(rows), within these bounds: the nearest of few rows lie farther off.
 SCALE, LEAST_PROBES, MOST_PROBES = 20_000, 64, 4096
+#: Queries of a block where too few candidates were found, and vectors they are compared with at a time.
+QUERY_BLOCK, COMPARED = 512, 4096
 #: Scored pairs that a task holds before it reduces them to the best of each query.
 HELD_PAIRS = 1_000_000
 #: Least norm of a band by its largest, and the rows up to which a band is ranked whole. BARE is the band of those.
@@ -158,6 +163,71 @@ def hashed(rows: DataFrame, tables: int, shared: dict[int, int], bands: list[tup
     return map_arrow(rows.select("id", "v", *["band"] * (bands is None)), run, "bucket long, id long, pairs binary, code binary")
 
 
+def best_of(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``keep`` best vectors of each query among (query, vector, score); a pair found again is one."""
+    q, v, s = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((v, -s, q))
+    order = order[np.r_[True, (np.diff(q[order]) != 0) | (np.diff(v[order]) != 0)]]
+    q, v, s = q[order], v[order], s[order]
+    first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+    return q[rank < keep], v[rank < keep], s[rank < keep]
+
+
+def compared(questions: DataFrame, n_questions: int, entries: DataFrame, n_entries: int, keep: int) -> DataFrame:
+    """question, id and near: the ``keep`` best entries of each question in each part of all entries. A task holds a
+    block of questions and streams a part past them."""
+    blocks, parts = -(-n_questions // QUERY_BLOCK), -(-n_entries // BUCKET_ROWS)
+    dealt = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asks = questions.select(dealt("block", blocks).alias("block"), each(parts).alias("part"), F.lit(0).alias("side"), "id", "v")
+    rows = entries.select(each(blocks).alias("block"), dealt("part", parts).alias("part"), F.lit(1).alias("side"), "id", "v")
+    both = asks.union(rows).repartition("block", "part").sortWithinPartitions("block", "part", "side", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, vectors, found = None, [], [], []
+
+        def release() -> Iterator[pa.RecordBatch]:
+            if found:
+                yield pa.record_batch([pa.array(x) for x in best_of(found, keep)], names=["question", "id", "near"])
+                found.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block, part, side, own = (batch.column(c).to_numpy() for c in ("block", "part", "side", "id"))
+            edges = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (part[1:] != part[:-1]) | (side[1:] != side[:-1])])
+            for s, e in zip(edges.tolist(), [*edges[1:].tolist(), len(block)], strict=True):
+                if (block[s], part[s]) != now:
+                    yield from release()
+                    now, ids, vectors = (block[s], part[s]), [], []
+                if side[s] == 0:
+                    ids.append(own[s:e])
+                    vectors.append(matrix(batch.column("v").slice(s, e - s)))
+                    continue
+                for at in range(s, e if ids else s, COMPARED):
+                    end = min(e, at + COMPARED)
+                    with np.errstate(all="ignore"):  # products may leave the range of doubles
+                        near = np.concatenate(vectors) @ matrix(batch.column("v").slice(at, end - at)).T
+                    near[np.isnan(near)] = -np.inf
+                    least = np.partition(near, max(0, end - at - keep), axis=1)[:, max(0, end - at - keep)]
+                    x, y = np.nonzero(near >= least[:, None])
+                    found.append((np.concatenate(ids)[x], own[at:end][y], near[x, y]))
+                    if sum(len(f[0]) for f in found) > HELD_PAIRS:
+                        found[:] = [best_of(found, keep)]
+        yield from release()
+
+    return both.mapInArrow(run, "question long, id long, near double")
+
+
+def short_lists(found: DataFrame, keep: int) -> DataFrame:
+    """question and id of the ``keep`` nearest of each question; tasks keep their own best before the shuffle, and
+    no question's candidates are gathered in one row."""
+    once = found.groupBy("question", "id").agg(F.min(-F.col("near")).alias("low"))
+    turn = F.row_number().over(W.partitionBy("question").orderBy("low", "id"))
+    return once.withColumn("turn", turn).filter(F.col("turn") <= keep).select("question", "id")
+
+
 def nearest(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", k: int = NEIGHBOURS, tables: int = TABLES, probes: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the ``k`` nearest rows found for each row where ``is_query``.
 
@@ -165,7 +235,8 @@ def nearest(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embeddi
     given; ties go to the smaller id; a query isn't its own neighbour. Vectors that are null, zero or hold null or
     non-finite components take no part, nor do rows without id or of another length than the most common one.
     Repeated rows of an id are one. ``probes`` are the buckets that a query looks into in each table and band; by
-    default they follow from the band's rows. If fewer than ``k`` candidates exist, all are returned.
+    default they follow from the band's rows. Queries whose buckets hold fewer than ``k`` other vectors are compared
+    with all vectors. If fewer than ``k`` candidates exist, all are returned.
 
     Equal vectors are one entry of the index with its k + 1 smallest ids, which is all that a result can show, and
     equal queries are searched once. First axes are put together so that a bucket has about ``BUCKET_ROWS`` vectors,
@@ -214,14 +285,7 @@ def nearest(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embeddi
         ids = vectors = starts = None
 
         def shrink() -> None:
-            """Keep the best of each query."""
-            q, v, s = (np.concatenate(c) for c in zip(*found, strict=True))
-            order = np.lexsort((v, -s, q))
-            order = order[np.r_[True, (np.diff(q[order]) != 0) | (np.diff(v[order]) != 0)]]  # tables find a pair again
-            q, v, s = q[order], v[order], s[order]
-            first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-            rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
-            found[:] = [(q[rank < short], v[rank < short], s[rank < short])]
+            found[:] = [best_of(found, short)]  # tables find a pair again
 
         def release() -> Iterator[pa.RecordBatch]:
             if found:
@@ -272,10 +336,13 @@ def nearest(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embeddi
         yield from release()
 
     best = both.mapInArrow(run, "question long, id long, near double")
-    chosen = best.groupBy("question", "id").agg(F.max("near").alias("near")).groupBy("question").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("near")).alias("low"), "id"))), 1, short).alias("found")
-    )
-    pairs = chosen.select("question", F.explode("found.id").alias("id"))
+    pairs = checkpointed(short_lists(best, short))
+    n_entries = sum(sizes.values())
+    full = pairs.groupBy("question").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min(k + 1, n_entries))
+    lacking = checkpointed(questions.select("id", "v").join(full.select(F.col("question").alias("id")), "id", "left_anti"))
+    if n_lacking := lacking.count():
+        whole = short_lists(compared(lacking, n_lacking, entries.select("id", "v"), n_entries, short), short)
+        pairs = pairs.join(lacking.select(F.col("id").alias("question")), "question", "left_anti").unionByName(whole)
     # exact products, added in order of the components, so equal vectors have equal scores wherever they stand
     doubles = lambda c: F.col(c).cast("array<double>")
     exact = F.aggregate(F.zip_with(doubles("asks"), doubles("v"), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x).alias("score")

@@ -77,3 +77,34 @@ def test_recall_with_uneven_norms(spark, norms):
         scores[q] = -np.inf
         hits += len({i for i, _ in got.get(q, [])} & set(np.argsort(-scores)[:20].tolist()))
     assert hits >= 0.9 * 20 * len(range(0, len(x), 20))
+
+
+def test_queries_with_few_candidates_are_compared_with_all(spark, monkeypatch):
+    """One query lies among nine others, and all other vectors point away from it: none is in a probed bucket."""
+    rnd = np.random.default_rng(4)
+    side = np.where(np.arange(200)[:, None] < 10, 1, -1) * rnd.normal(size=64)
+    x = side + rnd.normal(size=(200, 64)) / 10
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
+    got, want = searched(spark, rows), brute(rows, 20)
+    assert [i for i, _ in got[0]] == [i for i, _ in want[0]] and {len(v) for v in got.values()} == {20}
+    # the same in several blocks of queries and parts of vectors, with hardly any candidates from buckets
+    monkeypatch.setattr(ann, "BUCKET_ROWS", 50)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 3)
+    got = searched(spark, rows, tables=1, probes=1)
+    assert [i for i, _ in got[0]] == [i for i, _ in want[0]] and {len(v) for v in got.values()} == {20}
+
+
+def test_compared_in_blocks_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BUCKET_ROWS", 70)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 4)
+    rnd = np.random.default_rng(5)
+    x = rnd.integers(-2, 3, size=(300, 6)).astype(np.float32)  # many ties
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id long, v array<float>")
+    found = ann.compared(df.filter("id % 20 = 0"), 15, df, 300, 25)
+    got = {}
+    for r in ann.short_lists(found, 25).collect():
+        got.setdefault(r.question, set()).add(r.id)
+    for q in range(0, 300, 20):
+        scores = x.astype(float) @ x[q].astype(float)
+        assert got[q] == set(np.lexsort((np.arange(300), -scores))[:25].tolist())
